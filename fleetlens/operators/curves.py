@@ -111,7 +111,8 @@ def confusion_matrix(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 # -- thresholds ------------------------------------------------------------------
 
-_BEST_F1 = F.max_by("threshold", F.struct(F.col("f1"), -F.col("threshold")))
+def _best_f1():
+    return F.max_by("threshold", F.struct(F.col("f1"), -F.col("threshold")))
 
 
 def threshold_by_recall(df: DataFrame, label: str, score: str, target: float = 0.95) -> DataFrame:
@@ -123,14 +124,14 @@ def threshold_by_recall(df: DataFrame, label: str, score: str, target: float = 0
 
 def threshold_f1_max(df: DataFrame, label: str, score: str) -> DataFrame:
     """Threshold of the best F1 (lowest of equals), else 0.5."""
-    return score_curve(df, label, score).agg(F.coalesce(_BEST_F1, F.lit(0.5)).alias("threshold"))
+    return score_curve(df, label, score).agg(F.coalesce(_best_f1(), F.lit(0.5)).alias("threshold"))
 
 
 def threshold_precision_floor(df: DataFrame, label: str, score: str, floor: float = 0.10) -> DataFrame:
     """Lowest threshold whose precision reaches the floor, else the best F1."""
     lowest = F.min(F.when(F.col("precision") >= floor, F.col("threshold")))
     return score_curve(df, label, score).agg(
-        F.coalesce(lowest, _BEST_F1, F.lit(0.5)).alias("threshold")
+        F.coalesce(lowest, _best_f1(), F.lit(0.5)).alias("threshold")
     )
 
 
@@ -140,8 +141,8 @@ def threshold_f1_with_floor(df: DataFrame, label: str, score: str, floor: float
     best_precision = F.max_by("precision", F.struct(F.col("f1"), -F.col("threshold")))
     lowest = F.min(F.when(F.col("precision") >= floor, F.col("threshold")))
     return c.agg(
-        F.when(best_precision >= floor, _BEST_F1)
-        .otherwise(F.coalesce(lowest, _BEST_F1, F.lit(0.5))).alias("threshold")
+        F.when(best_precision >= floor, _best_f1())
+        .otherwise(F.coalesce(lowest, _best_f1(), F.lit(0.5))).alias("threshold")
     )
 
 

@@ -45,8 +45,8 @@ def threshold_rule(temp: Column, hashrate: Column, nameplate: Column) -> Column:
 def ensemble_score(classifier: Column, error: Column, threshold: Column | float) -> Column:
     """0.65 / 0.35 blend of classifier probability and scaled reconstruction error."""
     threshold = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    anomaly = F.when(threshold > 0, F.least(F.lit(1.0), error / (threshold * 3.0))).otherwise(F.lit(0.0))
-    anomaly = F.coalesce(anomaly, F.lit(0.0))
+    scored = error.isNotNull() & (threshold > 0)
+    anomaly = F.when(scored, F.least(F.lit(1.0), error / (threshold * 3.0))).otherwise(F.lit(0.0))
     return F.when(anomaly > 0, 0.65 * classifier + 0.35 * anomaly).otherwise(classifier)
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "tables", "windows")
+MODULES = ("cleaning", "tables", "windows", "summaries", "evaluation", "control", "streams")
 
 
 def load() -> tuple[dict, dict]:

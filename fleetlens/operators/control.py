@@ -14,6 +14,7 @@ from fleetlens.operators.ordering import INDEX, SLOT, TIE_BREAK, Series, with_ro
 from fleetlens.schema import (
     DEFAULT_FREQ_MAX_MHZ, DEFAULT_FREQ_MIN_MHZ, ControlConfig, DashboardControlConfig,
 )
+from fleetlens.session import cut_lineage
 
 MICROS = 1_000_000
 
@@ -274,8 +275,11 @@ def safety_guard(
             "__set": F.col("action").startswith("set_"),
         })
     )
+    # Both are read several times below.
+    live = cut_lineage(actions.sparkSession, live)
     slim = live.select("miner_id", "__block", "__idx", "__t", "__set")
     blocks = slim.groupBy("miner_id", "__block").applyInPandas(lambda p: _transfer(p, gap), _TRANSFER)
+    blocks = cut_lineage(actions.sparkSession, blocks)
     groups = (
         blocks.groupBy("miner_id", F.floor(F.col("block") / group).alias("g"))
         .applyInPandas(lambda p: _compose(p, group), _TRANSFER)

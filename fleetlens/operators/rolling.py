@@ -56,35 +56,37 @@ def _need(roll: Roll) -> tuple:
     raise ValueError(f"unknown rolling kind {roll.kind!r}")
 
 
-def _state(need: tuple, frame) -> Column:
-    """Aggregates that describe the rows of a frame and can be merged."""
+def _state(need: tuple, over, only=lambda c: c) -> Column:
+    """Aggregates that describe a set of rows and can be merged.
+
+    ``over`` turns an aggregate into a window column (or leaves it alone in a
+    ``groupBy``); ``only`` restricts a column to the rows that count.
+    """
     kind, a, b = need
     if kind == "moments":
-        c = F.col(a)
+        c = only(F.col(a))
         return F.struct(
-            F.count(c).over(frame).alias("n"),
-            F.avg(c).over(frame).alias("m"),
-            F.var_pop(c).over(frame).alias("v"),
+            over(F.count(c)).alias("n"), over(F.avg(c)).alias("m"), over(F.var_pop(c)).alias("v"),
         )
     if kind == "extremes":
-        c = F.col(a)
+        c = only(F.col(a))
         return F.struct(
-            F.count(c).over(frame).alias("n"),
-            F.min(c).over(frame).alias("lo"),
-            F.max(c).over(frame).alias("hi"),
+            over(F.count(c)).alias("n"), over(F.min(c)).alias("lo"), over(F.max(c)).alias("hi"),
         )
-    x = F.when(F.col(b).isNotNull(), F.col(a))
-    y = F.when(F.col(a).isNotNull(), F.col(b))
+    x = only(F.when(F.col(b).isNotNull(), F.col(a)))
+    y = only(F.when(F.col(a).isNotNull(), F.col(b)))
     return F.struct(
-        F.count(x).over(frame).alias("n"),
-        F.avg(x).over(frame).alias("ma"),
-        F.avg(y).over(frame).alias("mb"),
-        F.var_pop(x).over(frame).alias("va"),
-        F.var_pop(y).over(frame).alias("vb"),
-        F.covar_pop(x, y).over(frame).alias("cab"),
+        over(F.count(x)).alias("n"),
+        over(F.avg(x)).alias("ma"), over(F.avg(y)).alias("mb"),
+        over(F.var_pop(x)).alias("va"), over(F.var_pop(y)).alias("vb"),
+        over(F.covar_pop(x, y)).alias("cab"),
     )
 
 
+def _framed(need: tuple, frame) -> Column:
+    return _state(need, lambda agg: agg.over(frame))
+
+
 def _merge(need: tuple, p: Column, s: Column) -> Column:
     """Combine the states of two disjoint row sets; ``s`` may be null."""
     n1, n2 = p["n"], F.coalesce(s["n"], F.lit(0))
@@ -152,7 +154,7 @@ def add_rolls(chunks: Chunks, rolls: list[Roll], native_rows: int = NATIVE_ROWS)
         needs = list(dict.fromkeys(_need(r) for r in todo))
         names = {need: f"__s{i}" for i, need in enumerate(needs)}
         if w <= native_rows:
-            chunks.add(**{names[n]: _state(n, chunks.rows(w)) for n in needs})
+            chunks.add(**{names[n]: _framed(n, chunks.rows(w)) for n in needs})
             states = {n: F.col(names[n]) for n in needs}
         else:
             states = _block_states(chunks, w, needs, names)
@@ -168,8 +170,8 @@ def _block_states(chunks: Chunks, w: int, needs: list, names: dict) -> dict:
     up = block.orderBy(F.asc(INDEX)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     down = block.orderBy(F.desc(INDEX)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     chunks.add(
-        __head=F.struct(*[_state(n, up).alias(names[n]) for n in needs]),
-        __tail=F.struct(*[_state(n, down).alias(names[n]) for n in needs]),
+        __head=F.struct(*[_framed(n, up).alias(names[n]) for n in needs]),
+        __tail=F.struct(*[_framed(n, down).alias(names[n]) for n in needs]),
     )
     reaches_back = F.col(INDEX) % w != w - 1
     tail = F.when(reaches_back, F.lag("__tail", w - 1).over(chunks.window))
@@ -190,3 +192,23 @@ def rolling(
     longest = max(r.window for r in rolls)
     chunks = Chunks(df, before=longest - 1, series=series, chunk_rows=chunk_rows)
     return add_rolls(chunks, rolls, native_rows).finish()
+
+
+def newest_rolls(df: DataFrame, rolls: list[Roll], recency: str, keys: tuple = ("miner_id",)) -> DataFrame:
+    """The rolling columns of the newest row only, one row per key.
+
+    ``recency`` numbers the rows from 1 (newest).  A window that ends at the
+    newest row is "recency <= window", so every value is a conditional
+    aggregate and no frame slides.
+    """
+    df = df.withColumn("__x", -F.col(recency).cast("double"))
+    needs = list(dict.fromkeys((r.window, _need(r)) for r in rolls))
+    names = {need: f"__s{i}" for i, need in enumerate(needs)}
+
+    def within(w):
+        return lambda c: F.when(F.col(recency) <= w, c)
+
+    states = df.groupBy(*keys).agg(*[
+        _state(need, lambda agg: agg, within(w)).alias(names[w, need]) for w, need in needs
+    ])
+    return states.select(*keys, *[_value(r, F.col(names[r.window, _need(r)])).alias(r.out) for r in rolls])

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "tables", "windows", "summaries", "evaluation", "control", "streams")
+MODULES = ("cleaning", "tables", "windows", "summaries", "evaluation", "control", "streams", "models")
 
 
 def load() -> tuple[dict, dict]:

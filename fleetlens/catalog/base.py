@@ -202,8 +202,8 @@ KPI = CLEAN + "," + SPEC + "," + kpi_ctes("clean", "kpi")
 RAW_KPI = TEL + "," + SPEC + "," + kpi_ctes("tel", "kpi")
 
 HEALTH_SQL = (
-    "least(greatest((CASE WHEN temperature_c > 85e0 THEN 1e0 - 0.3e0 * ((temperature_c - 85e0) / (95e0 - 85e0)) "
-    "ELSE 1e0 END) * (0.3e0 + 0.7e0 * hashrate_realization), 0e0), 1e0)"
+    "CASE WHEN hashrate_realization IS NOT NULL THEN least(greatest((CASE WHEN temperature_c > 85e0 THEN 1e0 - 0.3e0 * ((temperature_c - 85e0) / (95e0 - 85e0)) "
+    "ELSE 1e0 END) * (0.3e0 + 0.7e0 * hashrate_realization), 0e0), 1e0) END"
 )
 
 RATIOS = KPI + """,

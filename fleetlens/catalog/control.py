@@ -114,7 +114,7 @@ def ctl5(spark, sf):
 
 
 GUARD = ACTIONS + """,
-hot AS (SELECT *, temperature_c >= 95 AND action <> 'flag_maintenance' AS too_hot FROM act),
+hot AS (SELECT *, coalesce(temperature_c >= 95 AND action <> 'flag_maintenance', false) AS too_hot FROM act),
 lv0 AS (SELECT *, epoch_us("timestamp") AS t, row_number() OVER (PARTITION BY miner_id ORDER BY "timestamp", event_id, rule_no) AS rn FROM hot WHERE NOT too_hot),
 gd(miner_id, rn, ok, last_t, seen) AS (
   SELECT miner_id, rn, true, t, CAST(NULL AS BIGINT) FROM lv0 WHERE rn = 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -231,18 +233,38 @@ def _entries(pdf: pd.DataFrame, entry: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["miner_id", "block", "entry"])
 
 
-def _decide(pdf: pd.DataFrame, gap: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("__idx")
-    t, is_set = pdf["__t"].to_numpy(), pdf["__set"].to_numpy(dtype=bool)
-    last = int(pdf["entry"].iloc[0])
-    approved = np.zeros(len(t), dtype=bool)
-    seen = np.empty(len(t), dtype=np.int64)
-    for k in range(len(t)):
-        seen[k] = last
-        if not is_set[k] or t[k] - last >= gap:
-            approved[k] = True
-            last = int(t[k])
-    return pdf.drop(columns=["entry"]).assign(__approved=approved, __last=seen)
+def _decide(frames: Iterator[pd.DataFrame], gap: int) -> Iterator[pd.DataFrame]:
+    """Walk rows sorted by (device, block, position); batches may cut a block anywhere."""
+    current, last = None, NEVER
+    for pdf in frames:
+        approved, seen = [], []
+        for miner, block, entry, t, limited in zip(
+            pdf["miner_id"].tolist(), pdf["__block"].tolist(), pdf["__entry"].tolist(),
+            pdf["__t"].tolist(), pdf["__set"].tolist(),
+        ):
+            if (miner, block) != current:
+                current, last = (miner, block), entry
+            seen.append(last)
+            ok = not limited or t - last >= gap
+            approved.append(ok)
+            if ok:
+                last = t
+        yield pdf.assign(__approved=approved, __last=np.array(seen, dtype="int64"))
+
+
+def _block_entries(live: DataFrame, gap: int, group: int) -> DataFrame:
+    """Time of the last approved action before each block of the devices that have several."""
+    spark = live.sparkSession
+    slim = live.where("__blocks > 1").select("miner_id", "__block", "__idx", "__t", "__set")
+    blocks = slim.groupBy("miner_id", "__block").applyInPandas(lambda p: _transfer(p, gap), _TRANSFER)
+    blocks = cut_lineage(spark, blocks.withColumn("g", F.floor(F.col("block") / group)))
+    groups = blocks.groupBy("miner_id", "g").applyInPandas(lambda p: _compose(p, group), _TRANSFER)
+    group_entry = groups.groupBy("miner_id").applyInPandas(lambda p: _entries(p, NEVER), _ENTRY)
+    entered = blocks.join(
+        group_entry.select("miner_id", F.col("block").alias("g"), "entry"), ["miner_id", "g"]
+    )
+    return entered.groupBy("miner_id", "g").applyInPandas(
+        lambda p: _entries(p.drop(columns=["entry"]), int(p["entry"].iloc[0])), _ENTRY)
 
 
 def safety_guard(
@@ -256,6 +278,7 @@ def safety_guard(
        approved action (of any kind) is rejected.
     3. Frequencies are clamped to the hardware limits.
     """
+    spark = actions.sparkSession
     base = series or Series.of(actions)
     series = Series(base.keys, (*base.order, "rule_no"), base.slots)
     gap = cfg.min_interval_s * MICROS
@@ -268,36 +291,29 @@ def safety_guard(
         .alias("rejection_reason"),
     )
     live = (
-        with_row_index(actions.where(~too_hot), series, name="__idx")
+        with_row_index(actions.where(~too_hot), series, name="__idx", total="__n")
         .withColumns({
             "__block": F.floor(F.col("__idx") / chunk_rows),
+            "__blocks": F.ceil(F.col("__n") / chunk_rows),
             "__t": F.unix_micros(F.col("timestamp").cast("timestamp")),
             "__set": F.col("action").startswith("set_"),
         })
     )
-    # Both are read several times below.
-    live = cut_lineage(actions.sparkSession, live)
-    slim = live.select("miner_id", "__block", "__idx", "__t", "__set")
-    blocks = slim.groupBy("miner_id", "__block").applyInPandas(lambda p: _transfer(p, gap), _TRANSFER)
-    blocks = cut_lineage(actions.sparkSession, blocks)
-    groups = (
-        blocks.groupBy("miner_id", F.floor(F.col("block") / group).alias("g"))
-        .applyInPandas(lambda p: _compose(p, group), _TRANSFER)
-    )
-    group_entry = groups.groupBy("miner_id").applyInPandas(lambda p: _entries(p, NEVER), _ENTRY)
-    entered = blocks.withColumn("g", F.floor(F.col("block") / group)).join(
-        group_entry.select("miner_id", F.col("block").alias("g"), "entry"), ["miner_id", "g"]
-    )
-    block_entry = entered.groupBy("miner_id", "g").applyInPandas(
-        lambda p: _entries(p.drop(columns=["entry"]), int(p["entry"].iloc[0])), _ENTRY
-    ).select("miner_id", F.col("block").alias("__block"), "entry")
-    ready = live.join(block_entry, ["miner_id", "__block"])
+    # Read twice: for the transfer functions and for the decisions.
+    live = cut_lineage(spark, live)
+    entries = _block_entries(live, gap, group).select(
+        F.col("miner_id").alias("__miner"), F.col("block").alias("__at"), "entry")
+    ready = live.join(
+        entries, (F.col("miner_id") == F.col("__miner")) & (F.col("__block") == F.col("__at")), "left"
+    ).select(*live.columns, F.coalesce("entry", F.lit(NEVER)).alias("__entry"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    in_order = ready.repartition(tasks, "miner_id", "__block").sortWithinPartitions("miner_id", "__block", "__idx")
     out_schema = T.StructType([
-        *[f for f in ready.schema.fields if f.name != "entry"],
+        *ready.schema.fields,
         T.StructField("__approved", T.BooleanType()),
         T.StructField("__last", T.LongType()),
     ])
-    decided = ready.groupBy("miner_id", "__block").applyInPandas(lambda p: _decide(p, gap), out_schema)
+    decided = in_order.mapInPandas(lambda frames: _decide(frames, gap), out_schema)
     ago = (F.col("__t") - F.col("__last")) / MICROS
     checked = decided.select(
         *actions.columns,

@@ -144,41 +144,53 @@ def _value(roll: Roll, s: Column) -> Column:
 
 
 def add_rolls(chunks: Chunks, rolls: list[Roll], native_rows: int = NATIVE_ROWS) -> Chunks:
-    """Add every rolling column to the chunked rows, one pass per window length."""
-    if any(r.kind == "slope" for r in rolls):
+    """Add every rolling column to the chunked rows.
+
+    All short windows share one pass; each long window takes one more, which
+    keeps only its results, so that the following sorts stay narrow.
+    """
+    slopes = any(r.kind == "slope" for r in rolls)
+    if slopes:
         # Slopes do not change when the row number is counted from the chunk start.
         chunks.add(__x=(F.col(INDEX) - F.col(Chunks.CHUNK) * chunks.size).cast("double"))
-    # Long windows first: their sorts then carry fewer columns.
-    for w in sorted({r.window for r in rolls}, reverse=True):
-        todo = [r for r in rolls if r.window == w]
-        needs = list(dict.fromkeys(_need(r) for r in todo))
+    for w in sorted({r.window for r in rolls if r.window > native_rows}):
+        _add_long(chunks, w, [r for r in rolls if r.window == w])
+    short = [r for r in rolls if r.window <= native_rows]
+    if short:
+        keep = chunks.df.columns
+        needs = list(dict.fromkeys((r.window, _need(r)) for r in short))
         names = {need: f"__s{i}" for i, need in enumerate(needs)}
-        if w <= native_rows:
-            chunks.add(**{names[n]: _framed(n, chunks.rows(w)) for n in needs})
-            states = {n: F.col(names[n]) for n in needs}
-        else:
-            states = _block_states(chunks, w, needs, names)
-        chunks.add(**{r.out: _value(r, states[_need(r)]) for r in todo})
-        chunks.df = chunks.df.drop(*names.values(), "__block", "__head", "__tail")
-    chunks.df = chunks.df.drop("__x")
+        chunks.add(**{name: _framed(need, chunks.rows(w)) for (w, need), name in names.items()})
+        chunks.df = chunks.df.select(
+            *keep, *[_value(r, F.col(names[r.window, _need(r)])).alias(r.out) for r in short]
+        )
+    if slopes:
+        chunks.df = chunks.df.drop("__x")
     return chunks
 
 
-def _block_states(chunks: Chunks, w: int, needs: list, names: dict) -> dict:
-    chunks.add(__block=F.floor(F.col(INDEX) / w))
+def _add_long(chunks: Chunks, w: int, rolls: list[Roll]) -> None:
+    keep = chunks.df.columns
+    needs = list(dict.fromkeys(_need(r) for r in rolls))
+    names = {need: f"s{i}" for i, need in enumerate(needs)}
+    number = F.floor(F.col(INDEX) / w)
     block = Window.partitionBy(*chunks.parts, "__block")
     up = block.orderBy(F.asc(INDEX)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     down = block.orderBy(F.desc(INDEX)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chunks.add(
-        __head=F.struct(*[_framed(n, up).alias(names[n]) for n in needs]),
-        __tail=F.struct(*[_framed(n, down).alias(names[n]) for n in needs]),
+    # The same order as the row number, and the sort that ``up`` needs anyway.
+    along = Window.partitionBy(*chunks.parts).orderBy("__block", INDEX)
+    chunks.df = chunks.df.select("*", number.alias("__block")).select(
+        "*", F.struct(*[_framed(n, down).alias(names[n]) for n in needs]).alias("__back")
     )
     reaches_back = F.col(INDEX) % w != w - 1
-    tail = F.when(reaches_back, F.lag("__tail", w - 1).over(chunks.window))
-    chunks.df = chunks.df.withColumn("__tail", tail)
+    chunks.df = chunks.df.select(
+        *keep,
+        F.struct(*[_framed(n, up).alias(names[n]) for n in needs]).alias("__head"),
+        F.when(reaches_back, F.lag("__back", w - 1).over(along)).alias("__tail"),
+    )
     head, tail = F.col("__head"), F.col("__tail")
-    chunks.add(**{names[n]: _merge(n, head[names[n]], tail[names[n]]) for n in needs})
-    return {n: F.col(names[n]) for n in needs}
+    chunks.df = chunks.df.select(*keep, *[_merge(n, head[names[n]], tail[names[n]]).alias(f"__{names[n]}") for n in needs])
+    chunks.df = chunks.df.select(*keep, *[_value(r, F.col(f"__{names[_need(r)]}")).alias(r.out) for r in rolls])
 
 
 def rolling(

@@ -82,7 +82,7 @@ class ActionInterval(StatefulProcessor):
         last = self.last.get()[0] if self.last.exists() else None
         batch = _in_order(rows, self.order)
         approved, ago = [], []
-        for t, limited, hot in zip(batch["__t"], batch["__set"], batch["__hot"]):
+        for t, limited, hot in zip(batch["at_us"], batch["rate_limited"], batch["too_hot"]):
             since = None if last is None else int(t) - last
             ok = not hot and (not limited or since is None or since >= self.gap)
             approved.append(ok)
@@ -91,7 +91,7 @@ class ActionInterval(StatefulProcessor):
                 last = int(t)
         if last is not None:
             self.last.update((last,))
-        yield batch.assign(approved=approved, __ago=pd.array(ago, dtype="Int64"))
+        yield batch.assign(approved=approved, since_us=pd.array(ago, dtype="Int64"))
 
     def close(self) -> None:
         pass
@@ -104,22 +104,22 @@ def live_guard(actions: DataFrame, cfg: ControlConfig = ControlConfig()) -> Data
     is_set = F.col("action").startswith("set_")
     hot = (F.col("temperature_c") >= cfg.shutdown_c) & (F.col("action") != "flag_maintenance")
     ready = actions.withColumns({
-        "__t": F.unix_micros(F.col("timestamp").cast("timestamp")),
-        "__set": is_set, "__hot": F.coalesce(hot, F.lit(False)),
+        "at_us": F.unix_micros(F.col("timestamp").cast("timestamp")),
+        "rate_limited": is_set, "too_hot": F.coalesce(hot, F.lit(False)),
     })
     out = T.StructType([*ready.schema.fields, T.StructField("approved", T.BooleanType()),
-                        T.StructField("__ago", T.LongType())])
+                        T.StructField("since_us", T.LongType())])
     decided = ready.groupBy("miner_id").transformWithStateInPandas(
         statefulProcessor=ActionInterval(order, cfg.min_interval_s * MICROS), outputStructType=out,
         outputMode="Append", timeMode="None",
     )
     bounded = F.least(F.greatest(F.col("value"), F.col("freq_min_mhz")), F.col("freq_max_mhz"))
     clamps = F.col("approved") & (F.col("action") == "set_frequency") & F.col("has_spec")
-    reason = F.when(F.col("__hot"), F.format_string(
+    reason = F.when(F.col("too_hot"), F.format_string(
         f"Thermal shutdown: %.1fC >= {cfg.shutdown_c}C", half_up(F.col("temperature_c"), 1))
     ).when(~F.col("approved"), F.format_string(
-        "Rate limited: last action %ds ago", F.floor(F.col("__ago") / MICROS + 0.5)))
+        "Rate limited: last action %ds ago", F.floor(F.col("since_us") / MICROS + 0.5)))
     return decided.withColumns({
         "rejection_reason": reason,
         "final_value": F.when(clamps, bounded).otherwise(F.col("value")),
-    }).drop("__t", "__set", "__hot", "__ago")
+    }).drop("at_us", "rate_limited", "too_hot", "since_us")

@@ -14,6 +14,15 @@ from fleetlens.schema import BOUNDS, SENSORS
 ZSCORE_COLUMNS = ("temperature_c", "hashrate_th", "power_w", "efficiency_jth")
 
 
+def missing_as_null(df: DataFrame) -> DataFrame:
+    """NaN readings become null: Spark's aggregates skip null but not NaN."""
+    real = (T.DoubleType, T.FloatType)
+    return df.select(*[
+        F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if isinstance(f.dataType, real) else F.col(f.name)
+        for f in df.schema.fields
+    ])
+
+
 def forward_fill(
     df: DataFrame,
     limit: int = 5,

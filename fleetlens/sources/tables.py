@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.operators.clean import missing_as_null
 from fleetlens.operators.filters import latest as latest_rows
 from fleetlens.operators.filters import validate_schema
 from fleetlens.schema import LIVE_TELEMETRY_SCHEMA, TELEMETRY_SCHEMA
@@ -30,13 +31,14 @@ def read_telemetry(spark: SparkSession, path: str, fmt: str = "parquet",
                    schema: T.StructType | None = TELEMETRY_SCHEMA) -> DataFrame:
     """Telemetry from Parquet or CSV.
 
-    No global sort: every ordered operator orders what it needs.
+    No global sort: every ordered operator orders what it needs.  Missing
+    readings are null in everything that follows.
     """
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unknown format {fmt!r}; use parquet or csv")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     df = reader.parquet(path) if fmt == "parquet" else reader.option("header", True).csv(path)
-    return validate_schema(df)
+    return missing_as_null(validate_schema(df))
 
 
 def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

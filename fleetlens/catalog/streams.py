@@ -7,14 +7,14 @@ import dataclasses
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.base import (
-    FEATURES, KPI, RAW_KPI, RISK, TEL, clean, g, gridded, kpi, query, sql, with_health,
+    FEATURES, KPI, RAW_KPI, RISK, TEL, g, gridded, query, sql, with_health,
 )
 from fleetlens.catalog.cleaning import TELEMETRY_COLUMNS, TELEMETRY_SQL
 from fleetlens.catalog.control import GUARD, RISK_COLUMNS, RISK_SQL, recursive
 from fleetlens.catalog.summaries import KPI_TICK, TICK_SQL
-from fleetlens.catalog.windows import PEER_GROUP, matrix
+from fleetlens.catalog.windows import PEER_GROUP, matrix_input
 from fleetlens.operators.control import propose_actions
-from fleetlens.operators.features import feature_columns
+from fleetlens.operators.features import feature_columns, feature_matrix
 from fleetlens.operators.filters import latest
 from fleetlens.operators.kpi import with_true_efficiency
 from fleetlens.operators.live import newest_features, parity
@@ -94,7 +94,7 @@ def str7(spark, sf):
 @query("str8_batch_live_parity")
 def str8(spark, sf):
     cfg = dataclasses.replace(FEATURES, warmup_cap=0)
-    batch = latest(matrix(spark, sf, cfg))
-    history = kpi(spark, sf).withColumn("period", F.date_trunc("day", "timestamp"))
+    history = matrix_input(spark, sf)
+    batch = latest(feature_matrix(history, cfg, peer_group=PEER_GROUP))
     live = newest_features(history, FEATURES, min_history=1, peer_group=PEER_GROUP)
     return parity(batch, live, feature_columns(live, NOT_FEATURES))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.base import (
-    CLEAN, FEATURES, RATIOS, SEQUENCES, TEL, clean, g, grid, gridded, kpi, ordered, query, sql, telemetry,
+    CLEAN, FEATURES, RATIOS, SEQUENCES, TEL, clean, g, grid, gridded, kpi, ordered, query, sql,
 )
 from fleetlens.catalog.cleaning import scaler_sql
 from fleetlens.functions.ratios import signal_ratios
@@ -15,6 +15,7 @@ from fleetlens.operators.peers import newest_per_period, peer_features
 from fleetlens.operators.phases import phase_runs
 from fleetlens.operators.rolling import Roll, rolling
 from fleetlens.operators.scaling import fit_scaler
+from fleetlens.session import scratch_path, stored
 from fleetlens.operators.sequences import newest_sequence, sequence_windows
 
 ORDER = 'PARTITION BY miner_id ORDER BY "timestamp", event_id'
@@ -293,7 +294,7 @@ alive AS (SELECT * FROM seq_in WHERE hashrate_th > 1 AND voltage_v > 0.05e0),"""
 def alive_clean(spark, sf):
     from fleetlens.functions.ratios import sequence_ratios
     from fleetlens.operators.filters import alive_rows
-    return sequence_ratios(alive_rows(clean(spark, sf)))
+    return stored(sequence_ratios(alive_rows(clean(spark, sf))), scratch_path(spark, "alive"))
 
 
 def healthy_scaler(spark, sf, alive=None):
@@ -421,7 +422,12 @@ def win14(spark, sf):
     return show(matrix(spark, sf), MATRIX_SHOWN)
 
 
+def matrix_input(spark, sf):
+    """Cleaned rows with the KPI, written once: the matrix reads them several times."""
+    df = kpi(spark, sf).withColumn("period", F.date_trunc("day", "timestamp"))
+    return stored(df, scratch_path(spark, "kpi"))
+
+
 def matrix(spark, sf, cfg=FEATURES):
     """Feature matrix; peers are the container's readings of the same day."""
-    df = kpi(spark, sf).withColumn("period", F.date_trunc("day", "timestamp"))
-    return Ft.feature_matrix(df, cfg, peer_group=PEER_GROUP)
+    return Ft.feature_matrix(matrix_input(spark, sf), cfg, peer_group=PEER_GROUP)

@@ -57,3 +57,9 @@ def cut_lineage(spark: SparkSession, df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
     return df.checkpoint(eager=True)
+
+
+def stored(df, path: str):
+    """Write a stage to a table file and read it back, so that later stages start from there."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -10,7 +10,7 @@ from fleetlens.operators.kpi import with_true_efficiency
 from fleetlens.operators.live import MIN_HISTORY, newest_features
 from fleetlens.operators.ordering import with_time_slot
 from fleetlens.schema import FeatureConfig
-from fleetlens.session import scratch_path
+from fleetlens.session import scratch_path, stored
 
 HISTORY_DAYS = 7
 
@@ -40,6 +40,8 @@ def live_features(
         history = stored.where((F.col("batch") <= batch_id) & (F.col("timestamp") > since)).drop("batch")
         history = history.join(devices, "miner_id", "left_semi") if not cfg.peers else history
         ready = prepare(with_true_efficiency(preprocess(with_time_slot(history))))
+        # Read by several branches below.
+        ready = stored(ready, f"{root}/prepared/batch={batch_id}")
         rows = newest_features(ready, cfg, min_history, peer_group)
         rows.join(devices, "miner_id", "left_semi").write.mode("overwrite").parquet(f"{root}/features/batch={batch_id}")
 

@@ -30,14 +30,14 @@ def live_features(
 
     def featurize(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/telemetry/batch={batch_id}")
-        stored = spark.read.parquet(f"{root}/telemetry")
-        fresh = stored.where(F.col("batch") == batch_id)
+        table = spark.read.parquet(f"{root}/telemetry")
+        fresh = table.where(F.col("batch") == batch_id)
         newest = fresh.agg(F.max("timestamp")).first()[0]
         if newest is None:
             return
         since = F.lit(newest) - F.make_dt_interval(days=F.lit(history_days))
         devices = fresh.select("miner_id").distinct()
-        history = stored.where((F.col("batch") <= batch_id) & (F.col("timestamp") > since)).drop("batch")
+        history = table.where((F.col("batch") <= batch_id) & (F.col("timestamp") > since)).drop("batch")
         history = history.join(devices, "miner_id", "left_semi") if not cfg.peers else history
         ready = prepare(with_true_efficiency(preprocess(with_time_slot(history))))
         # Read by several branches below.

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm.bpe import encode_decode
+from fleetlens.llm.cotraining import classify_quality
 from fleetlens.llm.decontaminate import mark_contaminated
 from fleetlens.llm.frames import table
 from fleetlens.llm.licenses import scan_licenses
@@ -74,6 +75,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    judged = classify_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+    return judged.select("doc_id", "p_text", "p_meta", "score", "kept")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
     return done.select(
@@ -84,7 +91,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_license_scan, op2_token_files, op3_shuffle_shards, op4_url_filter, op5_line_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_decontamination, op10_bpe)}
+        op1_license_scan, op2_token_files, op3_shuffle_shards, op4_url_filter, op5_line_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_decontamination, op9_quality_classifier, op10_bpe)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

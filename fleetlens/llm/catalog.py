@@ -15,7 +15,7 @@ from fleetlens.llm.line_dedup import drop_repeated_chunks
 from fleetlens.llm.quality_rules import quality_rules
 from fleetlens.llm.sharding import shuffle_into_shards
 from fleetlens.llm.simhash import hex_of, near_components
-from fleetlens.llm.token_files import documents_with_starts, write_token_files
+from fleetlens.llm.token_files import read_token_files, write_token_files
 from fleetlens.llm.url_filter import judge_urls
 from fleetlens.session import scratch_path
 
@@ -35,7 +35,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(table(spark, sf_dir, "documents"), TOKENIZER, scratch_path(spark, "tokens"))
-    return documents_with_starts(manifest).select(
+    return read_token_files(manifest).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 

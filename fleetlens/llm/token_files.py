@@ -38,7 +38,7 @@ TABLE_END = 0x8F92EAB1
 CHECKSUMS = 0x80
 
 MANIFEST = "file int, path string, n_docs long, n_ids long, n_bytes long"
-DOCUMENT = "file int, position long, doc_id long, offset long, ids binary"
+DOCUMENT = "file int, position long, doc_id long, start long, ids binary"
 
 
 def _fs(path: str):
@@ -173,42 +173,42 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     return stored(dealt.mapInArrow(run, MANIFEST), f"{root}/manifest")
 
 
+def with_file_starts(manifest: DataFrame) -> DataFrame:
+    """Adds ``before``, the number of ids in all files before a file; the window sorts one row a file."""
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+
+
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """All documents of the files: file, position in it, doc_id, offset (ids before it in the file), ids.
+    """All documents of the files: file, position in it, doc_id, start (ids of all documents before it), ids.
 
     ``ids`` are little-endian unsigned 32-bit integers. Every frame's checksum
-    is compared. Files are dealt one by one, so one task holds one frame.
+    is compared. Files are dealt one by one, so one task holds one frame. The
+    starts come with the files' names, so documents take part in no join.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("file", pa.int32()), ("position", pa.int64()), ("doc_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+        schema = pa.schema([("file", pa.int32()), ("position", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
         for batch in batches:
-            for number, path in zip(batch.column("file").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            for number, path, before in zip(*(batch.column(c).to_pylist() for c in ("file", "path", "before")), strict=True):
                 own, rows, held = FileReader(path), [], 0
                 for k, doc_id in enumerate(own.doc_ids):
                     ids = own.document(k).tobytes()
-                    rows.append((number, k, doc_id, int(own.offsets[k]), ids))
+                    rows.append((number, k, doc_id, before + int(own.offsets[k]), ids))
                     held += len(ids) + 64
                     if held >= AT_ONCE:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                        yield out(rows)
                         rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                    yield out(rows)
 
     spark: SparkSession = manifest.sparkSession
     many = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    return manifest.select("file", "path").repartition(many, "path").mapInArrow(run, DOCUMENT)
-
-
-def file_starts(manifest: DataFrame) -> DataFrame:
-    """file and the number of ids in all files before it; one row a file is all that the window sorts."""
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("__before"))
-
-
-def documents_with_starts(manifest: DataFrame) -> DataFrame:
-    """All documents with ``start``: the number of ids of all documents before them."""
-    return read_token_files(manifest).join(file_starts(manifest), "file").withColumn("start", F.col("__before") + F.col("offset")).drop("__before")
+    return with_file_starts(manifest).select("file", "path", "before").repartition(many, "path").mapInArrow(run, DOCUMENT)
 
 
 def read_documents(spark: SparkSession, path: str, positions: list[int]) -> list[np.ndarray]:

@@ -23,7 +23,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,27 +73,42 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*kept, *(T.StructField(f"__{v}", T.ArrayType(T.IntegerType())) for v in VIEWS)]))
 
 
+#: Feature numbers of many rows one after another, and how many each row has.
+Rows = tuple[np.ndarray, np.ndarray]
+
+
+def rows_of(frame: pa.Table, view: str) -> Rows:
+    lists = frame.column(f"__{view}").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+
+
+def chosen(rows: Rows, which: np.ndarray) -> Rows:
+    return rows[0][np.repeat(which, rows[1])], rows[1][which]
+
+
+def joined(a: Rows, b: Rows) -> Rows:
+    return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+
+
 class Logistic:
     """Logistic regression on sparse presence features, by scaled gradient steps with momentum."""
 
     def __init__(self, size: int) -> None:
         self.weights, self.bias = np.zeros(size), 0.0
 
-    @staticmethod
-    def joined(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return (np.concatenate(rows) if rows else np.zeros(0)).astype(np.int64), np.array([len(r) for r in rows], dtype=np.int64)
-
-    def odds(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def odds(self, rows: Rows) -> np.ndarray:
+        flat, sizes = rows
         sums = np.concatenate([[0.0], np.cumsum(self.weights[flat])])
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         return sums[ends] - sums[ends - sizes] + self.bias
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> Logistic:
-        flat, sizes = self.joined(rows)
-        own = np.repeat(np.arange(len(sizes)), sizes)
+    def fit(self, rows: Rows, y: np.ndarray, weight: np.ndarray) -> Logistic:
+        flat, sizes = rows
+        own = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         first, second, n = np.zeros(len(self.weights) + 1), np.zeros(len(self.weights) + 1), len(self.weights)
         for step in range(1, FIT_STEPS + 1):
-            wrong = (1 / (1 + np.exp(-np.clip(self.odds(flat, sizes), -30, 30))) - y) * weight
+            wrong = (1 / (1 + np.exp(-np.clip(self.odds(rows), -30, 30))) - y) * weight
             grad = np.append(np.bincount(flat, wrong[own], minlength=n) + PENALTY * self.weights, wrong.sum())
             first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
             move = 0.1 * (1 - step / (FIT_STEPS + 1)) * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -127,8 +141,7 @@ def with_odds(known: DataFrame, models: dict[str, Logistic]) -> DataFrame:
             added = {}
             for v in VIEWS:
                 lists = batch.column(f"__{v}")
-                sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-                added[f"__o_{v}"] = pa.array(own[v].odds(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes))
+                added[f"__o_{v}"] = pa.array(own[v].odds((lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))))
             yield with_columns(batch.drop_columns([f"__{v}" for v in VIEWS]), added)
 
     kept = [f for f in known.schema.fields if f.name not in ("__text", "__meta")]
@@ -139,10 +152,6 @@ def _order(*columns: str) -> Column:
     return F.md5(F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).cast("binary"))
 
 
-def _rows(frame: pd.DataFrame, view: str) -> list[np.ndarray]:
-    return [np.asarray(x, dtype=np.int64) for x in frame[f"__{view}"]]
-
-
 class CoTrained:
     """Both views' models and the weights that combine their log odds; without models every document gets ``base``."""
 
@@ -176,14 +185,15 @@ def co_train(known: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> CoT
     known = stored(known.join(labels, F.col("__id") == F.col("__i"), "left").drop("__i"), scratch_path(spark, "views"))
 
     own = ["__y", *(f"__{v}" for v in VIEWS)]
-    taught = known.where("__y is not null").withColumn("__order", _order("__id", "__key")).orderBy("__order").limit(MAX_LABELLED).select("__order", *own).toPandas()
-    held = (taught["__order"].str[0] < "4").to_numpy()
-    y = taught["__y"].to_numpy(dtype=float)
+    taught = known.where("__y is not null").withColumn("__order", _order("__id", "__key")).orderBy("__order").limit(MAX_LABELLED)
+    taught = stored(taught.select((F.substring("__order", 1, 1) < "4").alias("__held"), *own), scratch_path(spark, "taught")).toArrow()
+    held, y = taught.column("__held").to_numpy(), taught.column("__y").to_numpy()
     if any(len({*y[side]}) < 2 for side in (held, ~held)):
         return CoTrained({}, None, float(y.mean()) if len(y) else 1.0)
-    size = {"text": 1 << WORD_BITS, "meta": 1 << META_BITS}
-    rows = {v: _rows(taught, v) for v in VIEWS}
-    train = {v: ([r for r, h in zip(rows[v], held, strict=True) if not h], y[~held], np.ones((~held).sum())) for v in VIEWS}
+    size, every = {"text": 1 << WORD_BITS, "meta": 1 << META_BITS}, {v: rows_of(taught, v) for v in VIEWS}
+    train = {v: (chosen(every[v], ~held), y[~held], np.ones((~held).sum())) for v in VIEWS}
+    every = {v: chosen(every[v], held) for v in VIEWS}
+    del taught
     models = {v: Logistic(size[v]).fit(*train[v]) for v in VIEWS}
 
     edge = math.log(SURE / (1 - SURE))
@@ -198,14 +208,15 @@ def co_train(known: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> CoT
                 picks.append(sure.select(F.lit(other).alias("__to"), F.lit(float(sign > 0)).alias("__yy"), "__i", F.col("__key").alias("__k")))
         picked = stored(picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3]), scratch_path(spark, "picked"))
         match = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k"))
-        more = known.where("__y is null").join(F.broadcast(picked), match).dropDuplicates(["__to", "__key"]).select("__to", "__yy", "__text", "__meta").toPandas()  # 4 x TAUGHT rows at most
+        more = known.where("__y is null").join(F.broadcast(picked), match).dropDuplicates(["__to", "__key"]).select("__to", "__yy", "__text", "__meta").toArrow()  # 4 x TAUGHT rows at most
         for v in VIEWS:
-            new = more[more["__to"] == v]
-            old_rows, old_y, old_weight = train[v]
-            train[v] = (old_rows + _rows(new, v), np.append(old_y, new["__yy"]), np.append(old_weight, np.full(len(new), 0.5)))
+            to = more.column("__to").to_numpy() == v
+            new_y = more.column("__yy").to_numpy()[to]
+            old, old_y, old_weight = train[v]
+            train[v] = (joined(old, chosen(rows_of(more, v), to)), np.append(old_y, new_y), np.append(old_weight, np.full(len(new_y), 0.5)))
             models[v] = Logistic(size[v]).fit(*train[v])
 
-    odds = np.column_stack([models[v].odds(*Logistic.joined([r for r, h in zip(rows[v], held, strict=True) if h])) for v in VIEWS])
+    odds = np.column_stack([models[v].odds(every[v]) for v in VIEWS])
     return CoTrained(models, calibrate(odds, y[held]), float(y.mean()))
 
 

@@ -33,14 +33,14 @@ from fleetlens.llm.frames import chunks_of_bytes, text_key, texts_of, with_colum
 from fleetlens.session import scratch_path, stored
 
 AT_ONCE = 1 << 22
-MAX_LABELLED, TAUGHT, ROUNDS = 20_000, 1_000, 2
+MAX_LABELLED, TAUGHT, ROUNDS = 12_000, 1_000, 2
 #: A view is sure above this probability of a class.
 SURE = 0.95
 #: Documents below this score are rejected.
 KEEP_FROM = 0.5
 WORD_BITS, META_BITS = 17, 12
 #: Strength of the squared penalty, steps of a fit, and the range of log odds that calibration sees.
-PENALTY, FIT_STEPS, ODDS = 1.0, 120, 8.0
+PENALTY, FIT_STEPS, ODDS = 1.0, 80, 8.0
 VIEWS = ("text", "meta")
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 CLASSES = {"capitals": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "marks": b"#*$%&!<>{}[]=_~^", "bars": b"|", "digits": b"0123456789", "odd": b"\\@/+;:"}
@@ -185,8 +185,9 @@ def co_train(known: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> CoT
     known = stored(known.join(labels, F.col("__id") == F.col("__i"), "left").drop("__i"), scratch_path(spark, "views"))
 
     own = ["__y", *(f"__{v}" for v in VIEWS)]
+    # the order takes the smallest hashes, so the hold-out goes by their last digit
     taught = known.where("__y is not null").withColumn("__order", _order("__id", "__key")).orderBy("__order").limit(MAX_LABELLED)
-    taught = stored(taught.select((F.substring("__order", 1, 1) < "4").alias("__held"), *own), scratch_path(spark, "taught")).toArrow()
+    taught = stored(taught.select((F.substring("__order", 32, 1) < "4").alias("__held"), *own), scratch_path(spark, "taught")).toArrow()
     held, y = taught.column("__held").to_numpy(), taught.column("__y").to_numpy()
     if any(len({*y[side]}) < 2 for side in (held, ~held)):
         return CoTrained({}, None, float(y.mean()) if len(y) else 1.0)

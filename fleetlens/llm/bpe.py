@@ -34,11 +34,11 @@ from pyspark.sql import types as T
 from fleetlens.llm.frames import chunks_of_bytes, texts_of, with_columns, without
 
 #: Distinct fragments a worker keeps. A full store is emptied: this bounds memory and changes no result.
-STORE = 600_000
+STORE = 250_000
 #: Fragments that the splitting pattern takes as one piece: a space or none, then Latin letters, ASCII digits or other ASCII characters.
 SINGLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-/:-@\[-`{-~]+)").fullmatch
 #: Text bytes that are taken apart at a time.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -94,7 +94,7 @@ class Encoder:
     """Encodes whole texts by fragments.
 
     Ids of known fragments stand in ``pool``; ``store`` maps a fragment to its
-    place and length there. The fragments of a few megabytes of text are first
+    place and length there. The fragments of about a megabyte of text are first
     reduced to distinct ones, short ones as numbers that hold all their bytes.
     """
 

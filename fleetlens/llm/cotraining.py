@@ -182,12 +182,15 @@ def co_train(known: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> CoT
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     labels = labels.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__i"), good.cast("double").alias("__y")).where("__y is not null")
     labels = labels.groupBy("__i").agg(F.min("__y").alias("__y"), F.max("__y").alias("__other")).where("__y = __other").drop("__other")
-    known = stored(known.join(labels, F.col("__id") == F.col("__i"), "left").drop("__i"), scratch_path(spark, "views"))
+    ids = known.select("__id", "__key").join(labels, F.col("__id") == F.col("__i")).drop("__i")  # narrow: features take part in no shuffle
 
     own = ["__y", *(f"__{v}" for v in VIEWS)]
     # the order takes the smallest hashes, so the hold-out goes by their last digit
-    taught = known.where("__y is not null").withColumn("__order", _order("__id", "__key")).orderBy("__order").limit(MAX_LABELLED)
-    taught = stored(taught.select((F.substring("__order", 32, 1) < "4").alias("__held"), *own), scratch_path(spark, "taught")).toArrow()
+    sample = ids.withColumn("__order", _order("__id", "__key")).orderBy("__order").limit(MAX_LABELLED)
+    sample = stored(sample.select(F.col("__id").alias("__i"), F.col("__key").alias("__k"), "__y", (F.substring("__order", 32, 1) < "4").alias("__held")).distinct(), scratch_path(spark, "sample"))
+    match = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k"))
+    # rows that repeat an id and its text are one row of the sample
+    taught = known.join(F.broadcast(sample), match).dropDuplicates(["__id", "__key"]).select("__held", *own).toArrow()
     held, y = taught.column("__held").to_numpy(), taught.column("__y").to_numpy()
     if any(len({*y[side]}) < 2 for side in (held, ~held)):
         return CoTrained({}, None, float(y.mean()) if len(y) else 1.0)
@@ -198,18 +201,20 @@ def co_train(known: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> CoT
     models = {v: Logistic(size[v]).fit(*train[v]) for v in VIEWS}
 
     edge = math.log(SURE / (1 - SURE))
+    # pseudo-labels of a class never outnumber its labelled rows, so that few labels cannot drift
+    most = {side: min(TAUGHT, int((y[~held] == side).sum())) for side in (True, False)}
     for _ in range(ROUNDS):
-        scored = with_odds(known.where("__y is null").select("__id", "__key", "__text", "__meta"), models)
+        scored = with_odds(known, models).where(" or ".join(f"abs(__o_{v}) >= {edge}" for v in VIEWS))
+        scored = scored.join(labels, F.col("__id") == F.col("__i"), "left_anti")
         scored = stored(scored.withColumn("__order", _order("__key")), scratch_path(spark, "scored"))
         picks = []
         for view, other in (VIEWS, VIEWS[::-1]):
             for sign in (1, -1):
                 sure = scored.where((F.col(f"__o_{view}") * sign >= edge) & (F.col(f"__o_{other}") * sign < edge))
-                sure = sure.groupBy("__order", "__key").agg(F.min("__id").alias("__i")).orderBy("__order").limit(TAUGHT)
+                sure = sure.groupBy("__order", "__key").agg(F.min("__id").alias("__i")).orderBy("__order").limit(most[sign > 0])
                 picks.append(sure.select(F.lit(other).alias("__to"), F.lit(float(sign > 0)).alias("__yy"), "__i", F.col("__key").alias("__k")))
         picked = stored(picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3]), scratch_path(spark, "picked"))
-        match = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k"))
-        more = known.where("__y is null").join(F.broadcast(picked), match).dropDuplicates(["__to", "__key"]).select("__to", "__yy", "__text", "__meta").toArrow()  # 4 x TAUGHT rows at most
+        more = known.join(F.broadcast(picked), match).dropDuplicates(["__to", "__key"]).select("__to", "__yy", "__text", "__meta").toArrow()  # 4 x TAUGHT rows at most
         for v in VIEWS:
             to = more.column("__to").to_numpy() == v
             new_y = more.column("__yy").to_numpy()[to]

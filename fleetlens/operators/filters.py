@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from fleetlens.operators.ordering import INDEX, TIE_BREAK, Series, with_row_index
 from fleetlens.schema import REQUIRED_COLUMNS
 
-ISIN_LIMIT = 1000
-
 
 def validate_schema(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
     missing = sorted(set(required) - set(df.columns))
@@ -23,8 +21,6 @@ def by_miners(df: DataFrame, miners) -> DataFrame:
     if isinstance(miners, DataFrame):
         return df.join(miners.select("miner_id").distinct(), "miner_id", "left_semi")
     miners = list(miners)
-    if len(miners) <= ISIN_LIMIT:
-        return df.where(F.col("miner_id").isin(miners))
     listed = df.sparkSession.createDataFrame([(m,) for m in miners], "miner_id string")
     return df.join(listed, "miner_id", "left_semi")
 

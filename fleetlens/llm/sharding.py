@@ -1,6 +1,6 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-1. Count the rows of each input partition.
+1. Write the rows with their partition and place; count the rows of each partition.
 2. Draw how many rows each partition sends to each shard: row after row of the
    matrix is multivariate hypergeometric given the places still free, so all
    arrangements of the rows over the shards are equally likely and every shard
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.frames import without
+from fleetlens.llm.frames import with_columns, without
 from fleetlens.session import scratch_path, stored
 
 #: Rows of a shard that one task orders, on average.
@@ -70,49 +70,53 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
     return int(k[np.searchsorted(cum, rng.random() * cum[-1], side="right")])
 
 
-def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 42, order: list[str] | None = None) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 42) -> DataFrame:
     """Adds ``shard`` (0 to shards-1, sizes at most one apart) and ``slot`` (gapless from 0 in each shard) to every row.
 
-    ``order`` are columns that tell rows apart (all columns by default): rows of
-    a partition are sorted by them before labels are dealt, so a task that is
-    run again, with rows arriving in another order, deals the same labels. ``df``
-    must be split into the same partitions when it is read twice, as tables in
-    files are; this is verified and the job fails otherwise. Rows that are equal
-    in all columns are interchangeable, so ties need no rule; nulls are values
-    like others; an empty table gives an empty result. Columns named shard or
-    slot are replaced, others kept.
+    The rows are first written with their partition and their place in it. Labels
+    and keys are functions of these two and the seed, so a task that runs again,
+    or a reader that cuts the table in another way, deals the same ones. Rows
+    that are equal in all columns are interchangeable, so ties need no rule;
+    nulls are values like others; an empty table gives an empty result. Columns
+    named shard or slot are replaced, others kept.
     """
     df = without(df, "shard", "slot")
     spark = df.sparkSession
-    counted = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()}  # one row a partition
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        me, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield with_columns(batch, {"__part": pa.array(np.full(n, me, np.int32)), "__at": pa.array(np.arange(at, at + n))})
+            at += n
+
+    placed = [*df.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__at", T.LongType())]
+    table = stored(df.mapInArrow(place, T.StructType(placed)), scratch_path(spark, "placed"))
+    counted = {r[0]: r[1] for r in table.groupBy("__part").count().collect()}  # one row a partition
     rows = sum(counted.values())
     parts = max(counted, default=-1) + 1
-    counts = [counted.get(i, 0) for i in range(parts)]
-    matrix = spark.sparkContext.broadcast(communication_matrix(counts, shard_sizes(rows, shards), seed))
+    matrix = spark.sparkContext.broadcast(communication_matrix([counted.get(i, 0) for i in range(parts)], shard_sizes(rows, shards), seed))
     buckets = max(1, math.ceil(rows / shards / BUCKET_ROWS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, at = TaskContext.get().partitionId(), 0
-        own = matrix.value[me] if me < len(matrix.value) else np.zeros(shards, dtype=np.int64)
-        rng = np.random.default_rng([seed, me])
-        labels = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), own))
+        part, labels, keys = -1, np.zeros(0, np.int32), np.zeros(0, np.int64)
         for batch in batches:
-            n = batch.num_rows
-            if at + n > len(labels):
-                raise RuntimeError("the input was split in another way when it was read again; write it to a table first")
-            key = rng.integers(0, 1 << KEY_BITS, n, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels[at:at + n]), pa.array(key)], [*batch.schema.names, "shard", "__key"])
-            at += n
-        if at != len(labels):
-            raise RuntimeError("the input was split in another way when it was read again; write it to a table first")
+            of, at = (batch.column(c).to_numpy() for c in ("__part", "__at"))
+            shard, key = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
+            for p in np.unique(of):
+                if p != part:
+                    part, rng, own = p, np.random.default_rng([seed, int(p)]), matrix.value[p]
+                    labels = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), own))
+                    keys = rng.integers(0, 1 << KEY_BITS, len(labels), dtype=np.int64)
+                here = of == p
+                shard[here], key[here] = labels[at[here]], keys[at[here]]
+            yield with_columns(batch.drop_columns(["__part", "__at"]), {"shard": pa.array(shard), "__key": pa.array(key)})
 
-    columns = [F.col(f"`{c}`") for c in (order or df.columns)]
     schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("__key", T.LongType())])
-    dealt = df.sortWithinPartitions(*columns).mapInArrow(deal, schema)
+    dealt = table.mapInArrow(deal, schema)
     dealt = dealt.withColumn("__bucket", F.shiftright(F.shiftright("__key", KEY_BITS - 31) * buckets, 31).cast("int"))
-    dealt = stored(dealt, scratch_path(spark, "shards"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("shard", "__bucket").count().select("shard", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("shard", "__bucket").orderBy("__key", *columns)))
+    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("shard", "__bucket").orderBy("__key", *[F.col(f"`{c}`") for c in df.columns])))
     joined = ranked.join(starts, ["shard", "__bucket"])
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], "shard", (F.col("__start") + F.col("__rank") - 1).alias("slot"))

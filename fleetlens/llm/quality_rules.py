@@ -8,8 +8,8 @@ partial results, so a source with a third of all rows is no hot group:
 
 * two starts per group, spread by the median deviations and by unit scale,
   both around the medians;
-* concentration steps: distances, their 75 % quantile, sums of the rows below
-  it, new mean and covariance (none raises the determinant);
+* concentration steps: sums by distance, of which those up to the 75 % quantile
+  give a new mean and covariance (none raises the determinant);
 * the start with the smaller determinant stands; its distances are scaled so
   that their median is that of the chi-square law.
 
@@ -149,13 +149,16 @@ def mcd(rows: DataFrame) -> DataFrame:
         for s in (0, 1)))).alias("m")).select("__group", "m.*")
     model = stored(model, scratch_path(spark, "model"))
     n = model.count()
+    powers = {f"s{i}": F.col(x) for i, x in enumerate(DIMS)}
+    powers |= {f"p{i}{j}": F.col(DIMS[i]) * F.col(DIMS[j]) for i in range(5) for j in range(i, 5)}
+    of = Window.partitionBy("__group", "__start")
     for _ in range(STEPS):
-        apart = rows.join(small_side(model, n), "__group").withColumn("__log", F.log(distance() + 1e-6))
-        cut = stored(grid_quantile(apart, ["__group", "__start"], "__log", SHARE, "__cut"), scratch_path(spark, "cut"))
-        near = apart.join(small_side(cut, n), ["__group", "__start"]).where(F.ceil(F.col("__log") * GRID) <= F.round(F.col("__cut") * GRID))
-        sums = near.groupBy("__group", "__start").agg(
-            F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(DIMS)),
-            *(F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p{i}{j}") for i in range(5) for j in range(i, 5)))
+        # sums by grid step of the distance, then those of the steps up to the quantile: one pass over the rows
+        apart = rows.join(small_side(model, n), "__group").withColumn("__bin", F.ceil(F.log(distance() + 1e-6) * GRID))
+        steps = apart.groupBy("__group", "__start", "__bin").agg(F.count("*").alias("n"), *(F.sum(v).alias(k) for k, v in powers.items()))
+        before = F.coalesce(F.sum("n").over(of.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        near = steps.withColumns({"__before": before, "__all": F.sum("n").over(of)}).where(F.col("__before") < F.col("__all") * SHARE)
+        sums = near.groupBy("__group", "__start").agg(*(F.sum(k).alias(k) for k in ("n", *powers)))
         model = stored(sums.mapInPandas(_estimates, MODEL), scratch_path(spark, "model"))
     best = model.groupBy("__group").agg(F.min_by(F.struct("center", "inverse"), F.struct("logdet", "__start")).alias("m")).select("__group", "m.*")
     return stored(best, scratch_path(spark, "mcd"))

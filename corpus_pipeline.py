@@ -56,11 +56,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near copies, once (of rows with that id, the smallest name)."""
-    linked = near_components(_named(docs).select("doc_id", "text", "__doc", "__row"))
+    linked = near_components(_named(docs).select("doc_id", "text", "__doc", "__row"), keep_text=False)
     linked = stored(linked.select("__doc", "__row", "component_id"), scratch_path(spark, "linked"))
     heads = linked.where(F.col("__doc").eqNullSafe(F.col("component_id"))).groupBy("__doc").agg(F.min("__row").alias("__row"), F.count("*").alias("__n"))
     heads = stored(heads, scratch_path(spark, "heads"))
-    kept = _of(docs, heads, "left_semi")
+    # what goes is far less than what stays: texts need not be shuffled to find it
+    head = heads.select(F.col("__doc").alias("__d"), F.col("__row").alias("__r"))
+    kept = _of(docs, linked.join(head, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left_anti"), "left_anti")
     again = heads.where("__n > 1").select("__doc")  # ids that occur in several rows
     if not again.limit(1).count():
         return kept

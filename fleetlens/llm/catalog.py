@@ -63,7 +63,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return docs.select("doc_id", hex_of("fingerprint").alias("fingerprint"), "component_id")
 
 

@@ -46,17 +46,18 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, keep_text: bool = True) -> DataFrame:
     """Adds ``fingerprint`` (long, the 64 bits as they are) to every row; a null text has no words."""
     docs = without(docs, "fingerprint")
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks_of_bytes(batch, text, AT_ONCE):
                 values = np.array([fingerprint(t, size) for t in texts_of(part.column(text).to_pylist())], dtype=np.uint64)
-                yield with_columns(part, {"fingerprint": pa.array(values.view(np.int64))})
+                yield with_columns(part if keep_text else part.drop_columns([text]), {"fingerprint": pa.array(values.view(np.int64))})
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("fingerprint", T.LongType())]))
 
 
 def anchor_masks() -> list[np.ndarray]:
@@ -149,8 +150,8 @@ def links(distinct: DataFrame) -> DataFrame:
     return cells.mapInArrow(compare, "src long, dst long")
 
 
-def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3) -> DataFrame:
-    """Adds ``fingerprint`` (long) and ``component_id`` to every row.
+def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3, keep_text: bool = True) -> DataFrame:
+    """Adds ``fingerprint`` (long) and ``component_id`` to every row; without ``keep_text`` the text goes and is not written again.
 
     Documents whose fingerprints differ in at most two bits are linked;
     ``component_id`` is the smallest doc_id that links lead to. Texts without
@@ -162,13 +163,14 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     docs = without(docs, "fingerprint", "component_id")
     spark = docs.sparkSession
-    known = stored(fingerprints(docs, text, size), scratch_path(spark, "fingerprints"))
+    known = stored(fingerprints(docs, text, size, keep_text), scratch_path(spark, "fingerprints"))
     one = stored(known.groupBy("fingerprint").agg(F.min(doc_id).alias("__first")), scratch_path(spark, "distinct"))
     parts = connected_components(links(one)).select(F.col("node").alias("fingerprint"), F.col("component").alias("__root"))
     rooted = one.join(parts, "fingerprint", "left").select("fingerprint", "__first", F.coalesce("__root", "fingerprint").alias("__root"))
     low = rooted.groupBy("__root").agg(F.min("__first").alias("component_id"))
     named = rooted.join(low, "__root").select("fingerprint", "component_id")
-    return known.join(named, "fingerprint").select(*[F.col(f"`{c}`") for c in docs.columns], "fingerprint", "component_id")
+    keep = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != text]
+    return known.join(named, "fingerprint").select(*keep, "fingerprint", "component_id")
 
 
 def hex_of(fingerprint: str) -> Column:

@@ -104,9 +104,8 @@ def write_parquet(df: DataFrame, path: str, by_day: bool = True) -> str:
     """Raw telemetry or features, one folder per day so that time filters prune."""
     if by_day:
         day = df.withColumn("day", F.to_date("timestamp"))
-        # Spread each day over tasks by device, so no day is one file from one task.
-        day.repartition("day", F.pmod(F.xxhash64("miner_id"), F.lit(16))).write.mode("overwrite").partitionBy(
-            "day").parquet(path)
+        # Gathers days in few files, but splits a day by measured size: no day or device is one task.
+        day.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
     return path

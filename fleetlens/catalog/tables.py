@@ -218,9 +218,9 @@ def subsample_miners(spark, sf):
     return Fi.subsample_miners(tel.where(F.col("timestamp") < cut), tel.where(F.col("timestamp") >= cut), 9)
 
 
-@query("fil9_sample_rows")
+@query("fil9_sample_rows", sql(TEL, f"SELECT {TELEMETRY_SQL} FROM tel WHERE substr(md5('42 ' || event_id), 1, 8) < '19999999'"))
 def sample_rows(spark, sf):
-    return Fi.sample_rows(telemetry(spark, sf), 1000, ("event_id",)).select(*TELEMETRY_COLUMNS)
+    return Fi.sample_rows(telemetry(spark, sf), 0.1, ("event_id",)).select(*TELEMETRY_COLUMNS)
 
 
 @query("fil10_downsample_every_n", sql(TEL, f"""SELECT {TELEMETRY_SQL} FROM tel

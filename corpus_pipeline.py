@@ -14,7 +14,7 @@ from fleetlens.llm.bpe import encode_decode
 from fleetlens.llm.cotraining import classify_quality
 from fleetlens.llm.decontaminate import mark_contaminated
 from fleetlens.llm.frames import small_side, table, text_key
-from fleetlens.llm.line_dedup import drop_repeated_chunks
+from fleetlens.llm.line_dedup import drop_repeated_passages
 from fleetlens.llm.simhash import near_components
 from fleetlens.session import scratch_path, stored
 
@@ -46,10 +46,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated chunks of lines; a document of which nothing stays is a copy and goes."""
-    done = drop_repeated_chunks(docs)
-    changed = F.col("n_removed_chunks") > 0
-    done = done.where(~(changed & (F.col("text") == "")))
+    """Removes repeated passages; a document of which no more than white space stays is a copy and goes."""
+    done = drop_repeated_passages(docs)
+    changed = F.col("n_removed_lines") > 0
+    done = done.where(~(changed & ~F.col("text").rlike(r"\S")))
     chars = F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", chars).select(*[F.col(f"`{c}`") for c in docs.columns])
 

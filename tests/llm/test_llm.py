@@ -283,6 +283,51 @@ def test_repeated_chunks_go_but_first_places_stay(spark, odd):
     assert line_dedup.drop_repeated_chunks(odd.limit(0)).count() == 0
 
 
+def slow_passages(texts):
+    """Lines that every shared run of 50 words or more leaves, by comparison of all runs with all earlier places."""
+    gone, seen = {}, {}
+    for d in sorted(texts):
+        lines, out = texts[d].split("\n"), set()
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                body = tuple(lines[i:j + 1])
+                if len(re.findall(r"[^ \t\r]+", " ".join(body))) < 50 or not body[0].strip() or not body[-1].strip():
+                    continue
+                e, s = seen.setdefault(body, (d, i))
+                if (e, s) != (d, i):
+                    out |= set(range(max(i, s + len(body)) if e == d else i, j + 1))
+        gone[d] = out
+    return gone
+
+
+def test_passages_of_few_lines_go_whole(spark, odd):
+    rng, texts, spans = np.random.default_rng(5), {}, {}
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    for trial, (n, words) in enumerate([(1, 60), (2, 30), (3, 20), (4, 15), (4, 45), (6, 10), (8, 10), (10, 12), (50, 1), (5, 11)] * 4):
+        shared = [line(words) for _ in range(n)]
+        shared.insert(n // 2, "") if n > 1 and trial % 2 else None
+        for copy in (0, 1, 2):
+            before = [line(int(rng.integers(1, 40))) for _ in range(int(rng.integers(0, 5)))]
+            d = 1000 * copy + trial
+            texts[d] = "\n".join(before + shared + [line(9) for _ in range(int(rng.integers(0, 4)))])
+            spans[d] = range(len(before), len(before) + len(shared))
+    texts[5000] = "\n".join(["again and again"] * 60)  # overlaps itself: 17 lines have 50 words
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_passages(df).collect()}
+    want = slow_passages({d: t for d, t in texts.items() if d != 5000})
+    for d, t in texts.items():
+        lines = t.split("\n")
+        if d < 1000:
+            assert got[d]["text"] == t and got[d]["n_removed_lines"] == 0
+        elif d < 5000:
+            assert want[d] == set(spans[d])
+            assert got[d]["text"] == "\n".join(x for i, x in enumerate(lines) if i not in want[d]) and got[d]["n_removed_lines"] == len(want[d])
+    assert set(got[5000]["text"].split("\n")) == {"again and again"} and 0 < got[5000]["n_removed_lines"] <= 59
+    out = line_dedup.drop_repeated_passages(odd).collect()
+    assert len(out) == odd.count() and [r["text"] for r in out if r["doc_id"] == 0] == [None]
+    assert line_dedup.drop_repeated_passages(odd.limit(0)).count() == 0
+
+
 # -- 6: quality rules --------------------------------------------------------------------------------------------------
 
 def test_statistics_match_brute_force(docs, odd):

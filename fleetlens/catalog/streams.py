@@ -17,7 +17,7 @@ from fleetlens.operators.control import propose_actions
 from fleetlens.operators.features import feature_columns, feature_matrix
 from fleetlens.operators.filters import latest
 from fleetlens.operators.kpi import with_true_efficiency
-from fleetlens.operators.live import newest_features, parity
+from fleetlens.operators.live import parity
 from fleetlens.session import scratch_path
 from fleetlens.sources import tables as Tb
 from fleetlens.sources.fixture import EVENT_SCHEMA, events_to_telemetry
@@ -40,12 +40,16 @@ def str1(spark, sf):
     return spark.read.parquet(In.drain(stream.select(*TELEMETRY_COLUMNS), "str1"))
 
 
-@query("str2_live_features")
-def str2(spark, sf):
+def streamed(spark, sf, name, min_history):
     path = live_features(
-        telemetry_stream(spark, sf), "str2", FEATURES, min_history=10, history_days=31, peer_group=PEER_GROUP,
+        telemetry_stream(spark, sf), name, FEATURES, min_history=min_history, peer_group=PEER_GROUP,
         prepare=lambda d: d.withColumn("period", F.date_trunc("day", "timestamp")))
-    return spark.read.parquet(path).drop("time_slot", "batch")
+    return spark.read.parquet(path)
+
+
+@query("str2_live_features")
+def str2(spark, sf):
+    return streamed(spark, sf, "str2", min_history=10).drop("time_slot", "batch")
 
 
 @query("str4_live_risk", recursive(RISK_SQL.replace(KPI, RAW_KPI), f"SELECT event_id, miner_id, {', '.join(RISK_COLUMNS)} FROM risk"))
@@ -96,5 +100,5 @@ def str8(spark, sf):
     cfg = dataclasses.replace(FEATURES, warmup_cap=0)
     history = matrix_input(spark, sf)
     batch = latest(feature_matrix(history, cfg, peer_group=PEER_GROUP))
-    live = newest_features(history, FEATURES, min_history=1, peer_group=PEER_GROUP)
+    live = latest(streamed(spark, sf, "str8", min_history=1)).drop("batch")
     return parity(batch, live, feature_columns(live, NOT_FEATURES))

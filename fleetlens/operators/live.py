@@ -83,10 +83,10 @@ def newest_features(
 
 def parity(batch: DataFrame, live: DataFrame, features: list[str], tolerance: float = 1e-3,
            key: str = "miner_id") -> DataFrame:
-    """Per feature: devices compared and devices whose values agree (absolutely or relatively)."""
+    """Per feature: devices on either side and devices whose values agree (absolutely or relatively); one that a side lacks does not."""
     a = batch.select(key, *[F.col(f).cast("double").alias(f) for f in features]).unpivot([key], features, "feature", "a")
     b = live.select(key, *[F.col(f).cast("double").alias(f) for f in features]).unpivot([key], features, "feature", "b")
     gap = F.abs(F.col("a") - F.col("b"))
     close = (gap <= tolerance) | (gap <= tolerance * F.abs(F.col("a")))
-    return a.join(b, [key, "feature"]).groupBy("feature").agg(
+    return a.join(b, [key, "feature"], "full").groupBy("feature").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(close).alias("n_match"))

@@ -12,18 +12,18 @@ from fleetlens.operators.ordering import with_time_slot
 from fleetlens.schema import FeatureConfig
 from fleetlens.session import scratch_path, stored
 
-HISTORY_DAYS = 7
-
 
 def live_features(
     stream: DataFrame, name: str, cfg: FeatureConfig = FeatureConfig(), min_history: int = MIN_HISTORY,
-    history_days: int = HISTORY_DAYS, peer_group: tuple = ("container_id", "timestamp"), prepare=lambda df: df,
+    peer_group: tuple = ("container_id", "timestamp"), prepare=lambda df: df,
 ) -> str:
     """Run over everything available; returns the folder with one feature row per device and batch.
 
     A micro-batch is first appended to the telemetry table (partitioned by
     batch, so a retried batch replaces itself), then the devices it brought are
-    featurized together from the last days of that table with the batch code.
+    featurized together from that table with the batch code. Its history is not cut:
+    windows are rows, so a device with gaps needs rows of any age, and the
+    standard scores of ``preprocess`` are those of all readings.
     """
     spark = stream.sparkSession
     root = scratch_path(spark, name)
@@ -32,12 +32,10 @@ def live_features(
         batch.write.mode("overwrite").parquet(f"{root}/telemetry/batch={batch_id}")
         table = spark.read.parquet(f"{root}/telemetry")
         fresh = table.where(F.col("batch") == batch_id)
-        newest = fresh.agg(F.max("timestamp")).first()[0]
-        if newest is None:
+        if not fresh.limit(1).count():
             return
-        since = F.lit(newest) - F.make_dt_interval(days=F.lit(history_days))
         devices = fresh.select("miner_id").distinct()
-        history = table.where((F.col("batch") <= batch_id) & (F.col("timestamp") > since)).drop("batch")
+        history = table.where(F.col("batch") <= batch_id).drop("batch")
         history = history.join(devices, "miner_id", "left_semi") if not cfg.peers else history
         ready = prepare(with_true_efficiency(preprocess(with_time_slot(history))))
         # Read by several branches below.

@@ -1,5 +1,6 @@
 """Unit rows, invariants and errors."""
 
+import dataclasses
 import hashlib
 import math
 from datetime import datetime
@@ -128,3 +129,36 @@ def test_live_features_equal_batch(spark, sf):
     rows = load()[0]["str8_batch_live_parity"](spark, sf).collect()
     assert len(rows) > 100 and all(r.n_rows == r.n_match > 0 for r in rows)
     assert FEATURES.warmup == 10
+
+
+def test_streamed_features_equal_batch_with_gaps(spark, sf):
+    from fleetlens.catalog.streams import NOT_FEATURES
+    from fleetlens.catalog.windows import PEER_GROUP
+    from fleetlens.operators.clean import preprocess
+    from fleetlens.operators.filters import latest
+    from fleetlens.operators.kpi import with_true_efficiency
+    from fleetlens.operators.live import parity
+    from fleetlens.operators.ordering import with_time_slot
+    from fleetlens.session import stored
+    from fleetlens.streaming.ingest import read_stream
+    from fleetlens.streaming.live import live_features
+
+    # four times as long, and a device in three is silent for weeks
+    time = F.timestamp_seconds(F.unix_seconds("timestamp") * 4)
+    day = F.datediff(time, F.lit("1970-01-01"))
+    quiet = (F.crc32("miner_id") % 3 == 0) & (day % 40 < 20)
+    raw = telemetry(spark, sf).withColumn("timestamp", time).where(~quiet).drop("batch")
+    raw, folder = stored(raw, scratch_path(spark, "gaps")), scratch_path(spark, "gap_files")
+    edges = [r.d for r in raw.select(F.datediff("timestamp", F.lit("1970-01-01")).alias("d")).distinct().orderBy("d").collect()]
+    for k in range(4):  # files hold whole days, as peers are compared by day
+        part = raw.where(F.datediff("timestamp", F.lit("1970-01-01")).isin(edges[k * len(edges) // 4:(k + 1) * len(edges) // 4]))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    prepare = lambda d: d.withColumn("period", F.date_trunc("day", "timestamp"))
+    out = live_features(read_stream(spark, folder, raw.schema, 1), "gaps", FEATURES, min_history=1, peer_group=PEER_GROUP, prepare=prepare)
+    live = spark.read.parquet(out)
+    assert live.select("batch").distinct().count() == 4
+    history = stored(prepare(with_true_efficiency(preprocess(with_time_slot(raw)))), scratch_path(spark, "gap_history"))
+    batch = latest(feature_matrix(history, dataclasses.replace(FEATURES, warmup_cap=0), peer_group=PEER_GROUP))
+    live = latest(live)
+    rows = parity(batch, live, feature_columns(live, (*NOT_FEATURES, "batch"))).collect()
+    assert len(rows) > 100 and [r for r in rows if r.n_rows != r.n_match or r.n_rows == 0] == []

@@ -52,10 +52,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(spark: SparkSession, df):
-    """Reliable checkpoint in the shared folder."""
+def cut_often(spark: SparkSession) -> None:
+    """Lets iterative fits write checkpoints, in the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
+
+
+def cut_lineage(spark: SparkSession, df):
+    """Reliable checkpoint in the shared folder."""
+    cut_often(spark)
     return df.checkpoint(eager=True)
 
 

@@ -20,6 +20,9 @@ from fleetlens.session import scratch_path, stored
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
+#: Jaccard similarity of five-word shingles from which documents are near copies.
+SIMILAR = 0.8
+
 
 def _row() -> list:
     """What names a row in the joins of a stage; rows equal in these are treated alike."""
@@ -55,8 +58,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies, once (of rows with that id, the smallest name)."""
-    linked = near_components(_named(docs).select("doc_id", "text", "__doc", "__row"), keep_text=False)
+    """Keeps the document with the smallest doc_id of each group of near copies (2 bits, or ``SIMILAR`` by five-word shingles), once (of rows with that id, the smallest name)."""
+    linked = near_components(_named(docs).select("doc_id", "text", "__doc", "__row"), keep_text=False, similar=SIMILAR)
     linked = stored(linked.select("__doc", "__row", "component_id"), scratch_path(spark, "linked"))
     heads = linked.where(F.col("__doc").eqNullSafe(F.col("component_id"))).groupBy("__doc").agg(F.min("__row").alias("__row"), F.count("*").alias("__n"))
     heads = stored(heads, scratch_path(spark, "heads"))

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm.components import connected_components
-from fleetlens.llm.frames import chunks_of_bytes, texts_of, with_columns, without
+from fleetlens.llm.frames import chunks_of_bytes, text_key, texts_of, with_columns, without
+from fleetlens.llm.near_copies import band_keys, shingle_set, similar_links
 from fleetlens.session import scratch_path, stored
 
 AT_ONCE = 1 << 22
@@ -46,18 +47,22 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, keep_text: bool = True) -> DataFrame:
-    """Adds ``fingerprint`` (long, the 64 bits as they are) to every row; a null text has no words."""
+def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, keep_text: bool = True, similar_size: int | None = None) -> DataFrame:
+    """Adds ``fingerprint`` (long, the 64 bits as they are) to every row, and with ``similar_size`` the ``__bands`` of shingles of so many words; a null text has no words."""
     docs = without(docs, "fingerprint")
     kept = [f for f in docs.schema.fields if keep_text or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks_of_bytes(batch, text, AT_ONCE):
-                values = np.array([fingerprint(t, size) for t in texts_of(part.column(text).to_pylist())], dtype=np.uint64)
-                yield with_columns(part if keep_text else part.drop_columns([text]), {"fingerprint": pa.array(values.view(np.int64))})
+                texts = texts_of(part.column(text).to_pylist())
+                added = {"fingerprint": pa.array(np.array([fingerprint(t, size) for t in texts], dtype=np.uint64).view(np.int64))}
+                if similar_size:
+                    added["__bands"] = pa.array([band_keys(shingle_set(t, similar_size)) for t in texts], pa.list_(pa.int64()))
+                yield with_columns(part if keep_text else part.drop_columns([text]), added)
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("fingerprint", T.LongType())]))
+    bands = [T.StructField("__bands", T.ArrayType(T.LongType()))] if similar_size else []
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("fingerprint", T.LongType()), *bands]))
 
 
 def anchor_masks() -> list[np.ndarray]:
@@ -150,10 +155,12 @@ def links(distinct: DataFrame) -> DataFrame:
     return cells.mapInArrow(compare, "src long, dst long")
 
 
-def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3, keep_text: bool = True) -> DataFrame:
+def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3, keep_text: bool = True, similar: float | None = None, similar_size: int = 5) -> DataFrame:
     """Adds ``fingerprint`` (long) and ``component_id`` to every row; without ``keep_text`` the text goes and is not written again.
 
-    Documents whose fingerprints differ in at most two bits are linked;
+    Documents whose fingerprints differ in at most two bits are linked, and with
+    ``similar`` also those whose shingles of ``similar_size`` words have that Jaccard
+    similarity or more (``near_copies``);
     ``component_id`` is the smallest doc_id that links lead to. Texts without
     words, nulls included, have fingerprint 0 and are linked like others. Equal
     texts and repeated rows share a fingerprint, and so a component. A null
@@ -163,9 +170,13 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     docs = without(docs, "fingerprint", "component_id")
     spark = docs.sparkSession
-    known = stored(fingerprints(docs, text, size, keep_text), scratch_path(spark, "fingerprints"))
+    keyed = docs.withColumn("__key", text_key(F.col(text))) if similar else docs
+    known = stored(fingerprints(keyed, text, size, keep_text, similar_size if similar else None), scratch_path(spark, "fingerprints"))
     one = stored(known.groupBy("fingerprint").agg(F.min(doc_id).alias("__first")), scratch_path(spark, "distinct"))
-    parts = connected_components(links(one)).select(F.col("node").alias("fingerprint"), F.col("component").alias("__root"))
+    tied = links(one)
+    if similar:
+        tied = tied.unionByName(similar_links(docs, known, text, similar_size, similar))
+    parts = connected_components(tied).select(F.col("node").alias("fingerprint"), F.col("component").alias("__root"))
     rooted = one.join(parts, "fingerprint", "left").select("fingerprint", "__first", F.coalesce("__root", "fingerprint").alias("__root"))
     low = rooted.groupBy("__root").agg(F.min("__first").alias("component_id"))
     named = rooted.join(low, "__root").select("fingerprint", "component_id")

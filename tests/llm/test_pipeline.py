@@ -79,3 +79,32 @@ def test_stages_take_repeated_rows_nulls_and_empty_tables(spark, sf):
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
         stage(spark, docs, sf).collect()
+
+
+def test_near_copies_beyond_two_bits_go(spark, sf):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    words, rows = [f"word{i}" for i in range(5000)], []
+    for i in range(30):
+        base = list(rng.choice(words, int(rng.integers(60, 400))))
+        rows.append((i, " ".join(base)))
+        for copy in range(1, 4):  # a changed word in 60 touches five of its shingles
+            text = list(base)
+            for k in rng.choice(len(text), len(text) // 60, replace=False):
+                text[k] = f"other{rng.integers(10**9)}"
+            rows.append((100 * copy + i, " ".join(text)))
+        rows.append((1000 + i, " ".join(base[:len(base) // 2] + list(rng.choice(words, len(base))))))
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = stored(docs, scratch_path(spark, "near"))
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    first, part = {}, {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and part[i] != part[j]:
+                old, new = max(part[i], part[j]), min(part[i], part[j])
+                part = {k: new if v == old else v for k, v in part.items()}
+    for i in sorted(sets):
+        first.setdefault(part[i], i)
+    assert len(first) < 100
+    assert sorted(r["doc_id"] for r in pipeline.simhash_near_dedup(spark, docs, sf).collect()) == sorted(first.values())

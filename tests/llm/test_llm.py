@@ -465,6 +465,14 @@ def test_a_bounded_sample_still_has_both_sides(spark, monkeypatch):
     assert got.select("score").distinct().count() > 100 and got.where("not kept").count() < 400
 
 
+def test_a_bounded_sample_rejects_some(spark, monkeypatch):
+    assert (cotraining.MAX_LABELLED, cotraining.FIT_STEPS) == (20_000, 120)
+    sf = "/root/testdata/sf0.01"
+    monkeypatch.setattr(cotraining, "MAX_LABELLED", 270)
+    got = cotraining.classify_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    assert 0 < got.where("not kept").count() < 400
+
+
 def test_classifier_without_labels_and_on_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = cotraining.classify_quality(odd, none).collect()

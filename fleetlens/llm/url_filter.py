@@ -21,7 +21,7 @@ RULES = [
 #: Query parameters that name the way to a page, not the page.
 TRACKING = r"(?:utm_[^=&]*|ref|fbclid|gclid)(?:=[^&]*)?"
 LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*([^\"'\s>]+)"
+REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def _rest(url: Column) -> Column:
@@ -56,17 +56,35 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
+def without_dots(path: Column) -> Column:
+    """``.`` and ``..`` segments of a path resolved."""
+    none = F.array().cast("array<string>")
+    parts = F.aggregate(F.split(path, "/", -1), none, lambda a, x: F.when(x == ".", a).when(
+        x == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).otherwise(F.concat(a, F.array(x))))
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.array_join(parts, "/")).otherwise(path)
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """The url that ``href`` names on the page ``base``; null where it names no other page (fragments, mailto: and the like)."""
+    path, tail = F.regexp_replace(href, r"(?s)[?#].*$", ""), F.regexp_extract(href, r"(?s)[?#].*$", 0)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(base), r"(?s)^.*/", 0), F.lit("")), F.lit("/"))
+    at = lambda p: F.concat(F.lit("http://"), host_of(base), without_dots(p), tail)
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+        .when(href.startswith("//"), F.concat(F.lit("http:"), href))
+        .when(href.startswith("#") | href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(href.startswith("?"), at(path_of(base)))
+        .when(href.startswith("/"), at(path))
+        .otherwise(at(F.concat(folder, path)))
+    )
+
+
 def links_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src url, dst url): canonical links and refresh redirects of the pages; a link without a host stays on its page's host."""
-    found = F.array(F.regexp_extract(html, LINK, 1), F.regexp_extract(html, REFRESH, 1))
+    """(src url, dst url): all canonical links and refresh redirects of the pages, resolved against their page."""
+    found = F.concat(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), F.regexp_extract_all(html, F.lit(REFRESH), F.lit(1)))
     marked = F.col(html).rlike(r"(?i)canonical|refresh")
     links = pages.where(marked & F.col(url).contains("://")).select(F.col(url).alias("src"), F.explode(found).alias("href")).where("href <> ''")
-    whole = (
-        F.when(F.col("href").contains("://"), F.col("href"))
-        .when(F.col("href").startswith("//"), F.concat(F.lit("http:"), F.col("href")))
-        .when(F.col("href").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("src")), F.col("href")))
-    )
-    return links.select("src", whole.alias("dst")).where("dst is not null")
+    return links.select("src", resolved(F.col("href"), F.col("src")).alias("dst")).where("dst is not null")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: str = "url", html: str = "html", edges: DataFrame | None = None) -> DataFrame:

@@ -266,6 +266,22 @@ def test_decisions_follow_redirects(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_links_of_every_form_are_followed(spark):
+    canon = '<link rel="canonical" href="{}">'.format
+    refresh = """<meta http-equiv="refresh" content="0; url='{}'">""".format
+    target = "http://c.net/es/1"
+    data = [
+        ("http://a.org/d/x", canon("next.html"), "http://a.org/d/next.html"), ("http://b.org", canon("page2"), "http://b.org/page2"), ("http://c.org/d/x?a=1", canon("?id=3"), "http://c.org/d/x?id=3"),
+        ("http://d.org/d/e/x", canon("../y?q=1"), "http://d.org/d/y?q=1"), ("http://e.org/d/x", canon("./y"), "http://e.org/d/y"), ("http://f.org/x", canon("/a/../y"), "http://f.org/y"),
+        ("http://g.org/x", refresh("http://other.org/1"), "http://other.org/1"), ("http://h.org/x", canon("http://other.org/2") + canon("http://other.org/3"), "http://other.org/3"),
+        ("http://i.org/x", refresh("http://other.org/4") + refresh("/y"), "http://i.org/y"), ("http://j.org/x", canon("z?u=http://k.org/"), "http://j.org/z?u=http://k.org/")]
+    rows = [(k, u, h) for k, (u, h, _) in enumerate(data)] + [(100 + k, t, canon(target)) for k, (_, _, t) in enumerate(data)]
+    rows += [(200, "http://l.org/x", canon("#top") + canon("mailto:x@c.net") + canon("javascript:void")), (300, target, "")]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(df).collect()}
+    assert {i for i, v in got.items() if v != "block"} == {200}
+
+
 # -- 5: lines ----------------------------------------------------------------------------------------------------------
 
 def test_repeated_chunks_go_but_first_places_stay(spark, odd):

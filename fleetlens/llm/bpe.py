@@ -37,6 +37,8 @@ from fleetlens.llm.frames import chunks_of_bytes, texts_of, with_columns, withou
 STORE = 250_000
 #: Fragments that the splitting pattern takes as one piece: a space or none, then Latin letters, ASCII digits or other ASCII characters.
 SINGLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-/:-@\[-`{-~]+)").fullmatch
+#: Of the 64 bits that hold a fragment's place and count. A token has a byte at least and an Arrow text under 2**31, so neither outgrows its share.
+COUNT_BITS = 32
 #: Text bytes that are taken apart at a time.
 AT_ONCE = 1 << 20
 
@@ -121,12 +123,12 @@ class Encoder:
         for f in new:
             if SINGLE(f):
                 got = [t.id for t in one(f.decode("latin-1").translate(self.letters))]
-                self.store[f] = (self.filled + len(ids) << 24) + len(got)
+                self.store[f] = (self.filled + len(ids) << COUNT_BITS) + len(got)
                 ids.extend(got)
             else:
                 rest.append(f)
         for f, e in zip(rest, self.tokenizer.encode_batch_fast([f.decode() for f in rest], add_special_tokens=False), strict=True):
-            self.store[f] = (self.filled + len(ids) << 24) + len(e.ids)
+            self.store[f] = (self.filled + len(ids) << COUNT_BITS) + len(e.ids)
             ids.extend(e.ids)
         while self.filled + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -166,7 +168,7 @@ class Encoder:
                 self._learn(list({f for f, x in zip(found, known, strict=True) if x is None}))
                 known = list(map(self.store.__getitem__, found))
             known = np.array(known, dtype=np.int64)
-            places[at], counts[at] = known[own] >> 24, known[own] & 0xFFFFFF
+            places[at], counts[at] = known[own] >> COUNT_BITS, known[own] & ((1 << COUNT_BITS) - 1)
         ends = np.cumsum(counts)
         ids = self.pool[np.repeat(places - ends + counts, counts) + np.arange(ends[-1])]
         if len(self.store) > STORE or self.filled > 8 * STORE:

@@ -141,6 +141,17 @@ def test_a_full_store_changes_nothing(monkeypatch):
         assert own.encode([t.encode()])[0].tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_a_fragment_of_very_many_tokens():
+    from array import array
+    from types import SimpleNamespace
+
+    own, n = bpe.Encoder(catalog.TOKENIZER), (1 << 24) + 3
+    many = SimpleNamespace(ids=array("I", [7]) * n)
+    own.tokenizer = SimpleNamespace(model=own.tokenizer.model, encode_batch_fast=lambda found, add_special_tokens: [many for _ in found])
+    ids, ends = own.encode_flat(["漢字".encode()])
+    assert len(ids) == n and (ids == 7).all() and ends.tolist() == [n]
+
+
 def test_token_files_match_the_library(spark, sf, docs):
     own, start, want = tokenizer(), 0, []
     for i, t in docs:

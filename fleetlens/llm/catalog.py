@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm.bpe import encode_decode
+from fleetlens.llm.collocations import collocations
+from fleetlens.llm.conversations import damaged, repair, with_digest
 from fleetlens.llm.cotraining import classify_quality
 from fleetlens.llm.decontaminate import mark_contaminated
 from fleetlens.llm.frames import table
@@ -15,6 +17,7 @@ from fleetlens.llm.line_dedup import drop_repeated_chunks
 from fleetlens.llm.quality_rules import quality_rules
 from fleetlens.llm.sharding import shuffle_into_shards
 from fleetlens.llm.simhash import hex_of, near_components
+from fleetlens.llm.substring_dedup import drop_repeated_substrings
 from fleetlens.llm.token_files import read_token_files, write_token_files
 from fleetlens.llm.url_filter import judge_urls
 from fleetlens.session import scratch_path
@@ -89,9 +92,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = with_digest(repair(damaged(table(spark, sf_dir, "conversations"))))
+    return done.select(
+        F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = drop_repeated_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_license_scan, op2_token_files, op3_shuffle_shards, op4_url_filter, op5_line_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_decontamination, op9_quality_classifier, op10_bpe)}
+        op1_license_scan, op2_token_files, op3_shuffle_shards, op4_url_filter, op5_line_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_decontamination, op9_quality_classifier, op10_bpe,
+        op11_conversation_repair, op12_substring_dedup, op13_collocations)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -131,5 +150,39 @@ FROM d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id, l
 """
 
 
+SUBSTRING_DEDUP = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS k
+        FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS p FROM d WHERE len(w) >= 50)),
+f AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 49)) AS x FROM win JOIN f USING (k) WHERE doc_id > m),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS x FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY x) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, x) GROUP BY 1)
+SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, sum(len(w))::hugeint AS n FROM p GROUP BY 1),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::hugeint AS f
+      FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, unnest(generate_series(1, 5)) AS s(k) WHERE len(w) >= k)
+      GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE k > 1),
+left_over AS (SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c AS q WHERE q.lang = c.lang AND q.k > c.k AND 100 * q.f >= 100 * c.f AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))),
+cut AS (SELECT lang, phrase, f AS a, k, w, unnest(generate_series(1, k - 1)) AS j FROM (SELECT *, string_split(phrase, ' ') AS w FROM left_over)),
+scored AS (SELECT cut.lang, cut.phrase, a, j, l.f AS l, r.f AS r, n, (1000 * a * n) // (l.f * r.f) AS score
+           FROM cut JOIN f AS l ON l.lang = cut.lang AND l.phrase = array_to_string(w[:j], ' ')
+           JOIN f AS r ON r.lang = cut.lang AND r.phrase = array_to_string(w[j + 1:], ' ') JOIN n ON n.lang = cut.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER best AS rank, phrase, a::bigint AS a, l::bigint AS l, r::bigint AS r, n::bigint AS n, score::bigint AS score
+FROM worst QUALIFY row_number() OVER best <= 2000 WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": LINE_DEDUP, "op8_decontamination": DECONTAMINATION}
+    return {
+        "op5_line_dedup": LINE_DEDUP, "op8_decontamination": DECONTAMINATION,
+        "op12_substring_dedup": SUBSTRING_DEDUP, "op13_collocations": COLLOCATIONS}

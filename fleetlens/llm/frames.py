@@ -75,3 +75,13 @@ def small_side(df: DataFrame, stored_rows: int) -> DataFrame:
 def exact_lower(text: Column) -> Column:
     """A-Z lower-cased; texts of ASCII only take the fast way."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(ascii_lower(text))
+
+
+#: Measured bytes up to which a table may be broadcast where its rows can be of any size.
+BROADCAST_BYTES = 64 << 20
+
+
+def bounded_side(df: DataFrame, *sized: Column) -> DataFrame:
+    """Marks a stored table for broadcast if its rows, counted with 64 bytes each plus the ``sized`` bytes, stay under ``BROADCAST_BYTES``; else the join shuffles and splits skew."""
+    bytes_of = sum((F.coalesce(c, F.lit(0)) for c in sized), F.lit(64)).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(bytes_of)).first()[0] or 0) <= BROADCAST_BYTES else df

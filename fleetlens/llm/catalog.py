@@ -178,7 +178,7 @@ scored AS (SELECT cut.lang, cut.phrase, a, j, l.f AS l, r.f AS r, n, (1000 * a *
            JOIN f AS r ON r.lang = cut.lang AND r.phrase = array_to_string(w[j + 1:], ' ') JOIN n ON n.lang = cut.lang),
 worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
 SELECT lang, row_number() OVER best AS rank, phrase, a::bigint AS a, l::bigint AS l, r::bigint AS r, n::bigint AS n, score::bigint AS score
-FROM worst QUALIFY row_number() OVER best <= 2000 WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+FROM worst WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER best <= 2000
 """
 
 

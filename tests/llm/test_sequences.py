@@ -229,10 +229,10 @@ def test_phrases_are_exact_whatever_the_sample(spark, sf, sample):
 
 
 def test_a_sample_that_misses_costs_passes(spark):
-    rows = [(i, "alpha beta gamma delta epsilon zeta. " * 3 if i % 2 else f"word{i} other{i}.", "en") for i in range(400)]
+    rows = [(i, "alpha beta gamma delta epsilon zeta." if i % 2 else f"word{i} other{i}.", "en") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     full = collocations.frequent_phrases(df, least=20, sample_docs=400)
-    poor = collocations.frequent_phrases(df.withColumn("doc_id", F.col("doc_id")), least=20, sample_docs=1)
+    poor = collocations.frequent_phrases(df, least=20, sample_docs=1)
     assert full[1] == 1 and poor[1] > 1
     key = lambda d: sorted((r["phrase"], r["k"], r["f"]) for r in d.collect())
     assert key(full[0]) == key(poor[0])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.frames import bounded_side, chunks_of_bytes, text_key, without
+from fleetlens.llm.frames import bounded_side, chunks_of_bytes, without
 from fleetlens.llm.word_windows import Bits, Words, buffer_of, byte_table, gathered, lists, window_hashes
 from fleetlens.session import scratch_path, stored
 
@@ -36,7 +36,7 @@ WINDOW = 50
 #: What stands between words.
 SPACE = byte_table(b" \t\n\x0b\x0c\r")
 #: Text bytes that are taken apart at a time; a longer text is taken alone.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 #: The place of a row without an id: after all others.
 LAST = (1 << 63) - 1
 
@@ -158,9 +158,9 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """
     spark = docs.sparkSession
     slim = docs.select(
-        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("o"), text_key(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
+        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("o"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
     blocks = stored(
-        slim.mapInArrow(_blocks, "o long, t string, n long, w1 long, w2 long, keys array<long>").where(F.col("n") >= WINDOW),
+        slim.mapInArrow(_blocks, "o long, t long, n long, w1 long, w2 long, keys array<long>").where(F.col("n") >= WINDOW),
         scratch_path(spark, "blocks"))
 
     # equal documents: all but the smallest go whole
@@ -172,12 +172,12 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
     index = single(blocks.select("o", "t", "keys")).select("o", F.explode("keys").alias("key"))
     first = spark.sparkContext.broadcast(Bits.of(index))
-    probes = stored(single(slim.mapInArrow(_probes(first), "o long, t string, keys array<long>")), scratch_path(spark, "probes"))
+    probes = stored(single(slim.mapInArrow(_probes(first), "o long, t long, keys array<long>")), scratch_path(spark, "probes"))
     both = index.unionByName(probes.select("o", F.explode("keys").alias("key")))
     shared = both.groupBy("key").agg(F.min("o").alias("m"), F.max("o").alias("x")).where("m < x").select("key")
     second = spark.sparkContext.broadcast(Bits.of(shared))
 
-    found = slim.mapInArrow(_windows(second), "o long, t string, at array<int>, h1 array<long>, h2 array<long>")
+    found = slim.mapInArrow(_windows(second), "o long, t long, at array<int>, h1 array<long>, h2 array<long>")
     found = stored(single(found), scratch_path(spark, "windows"))
     windows = found.select("o", "t", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select("o", "t", "w.at", "w.h1", "w.h2")
     firsts = windows.groupBy("h1", "h2").agg(F.min("o").alias("m"), F.max("o").alias("x")).where("m < x").drop("x")
@@ -201,7 +201,7 @@ def drop_repeated_substrings(docs: DataFrame, text: str = "text", doc_id: str =
     gone = repeated_windows(docs, text, doc_id)
     every = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("o"),
-        text_key(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
+        F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
     every = every.join(bounded_side(gone, F.size("gone") * 8), ["o", "t"], "left").select("d", "text", "gone")
     out = T.StructType([every.schema["d"], T.StructField("kept", T.StringType()), T.StructField("n", T.LongType()), T.StructField("removed", T.LongType())])
     done = every.mapInArrow(_left, out)

@@ -159,7 +159,7 @@ def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 
 class Bits:
-    """Which keys may be in a set: one bit a key at its highest ``FILTER_BITS`` bits.
+    """Which keys may be in a set: two bits a key, at its highest and its lowest ``FILTER_BITS`` bits.
 
     A filter holds every key of its set, and others by chance; its size does not
     depend on the set. Where it is used, a key more costs work and changes no result.
@@ -172,8 +172,9 @@ class Bits:
     @classmethod
     def of(cls, keys: DataFrame, column: str = "key", log2: int = FILTER_BITS) -> "Bits":
         """From a table with a 64-bit key; executors make pages of 4 KB, so the driver gets at most the filter's size."""
-        place = F.shiftrightunsigned(F.col(column), 64 - log2) + 1
-        pages = keys.select(F.bitmap_bucket_number(place).alias("page"), F.bitmap_bit_position(place).alias("bit"))
+        places = F.array(F.shiftrightunsigned(F.col(column), 64 - log2), F.col(column).bitwiseAND(F.lit((1 << log2) - 1)))
+        place = F.col("place") + 1
+        pages = keys.select(F.explode(places).alias("place")).select(F.bitmap_bucket_number(place).alias("page"), F.bitmap_bit_position(place).alias("bit"))
         pages = pages.repartition("page").groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
         out = cls(log2=log2)
         for row in pages.collect():
@@ -185,5 +186,10 @@ class Bits:
         return Bits(self.data | other.data, self.log2)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys >> np.uint64(64 - self.log2)
+        out = self._bit(keys >> np.uint64(64 - self.log2))
+        some = np.flatnonzero(out)
+        out[some] = self._bit(keys[some] & np.uint64((1 << self.log2) - 1))
+        return out
+
+    def _bit(self, at: np.ndarray) -> np.ndarray:
         return (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1

@@ -249,4 +249,7 @@ def test_filter_holds_every_key(spark):
     import numpy as np
 
     assert bits.has(np.array(keys, dtype=np.int64).view(np.uint64)).all()
-    assert int(np.unpackbits(bits.data).sum()) == len({(k % (1 << 64)) >> 36 for k in keys})
+    unsigned = [k % (1 << 64) for k in keys]
+    assert int(np.unpackbits(bits.data).sum()) == len({k >> 36 for k in unsigned} | {k & ((1 << 28) - 1) for k in unsigned})
+    other = np.random.default_rng(1).integers(-2**63, 2**63 - 1, 1_000_000).view(np.uint64)
+    assert bits.has(other).sum() == 0

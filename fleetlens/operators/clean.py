@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from fleetlens.functions.kpi import clamp
 from fleetlens.functions.ratios import per
+from fleetlens.operators.halo import own_rows, with_halo
 from fleetlens.operators.ordering import Chunks, Series
 from fleetlens.schema import BOUNDS, SENSORS
 
@@ -29,17 +30,17 @@ def forward_fill(
     columns: list | None = None,
     required: tuple = ("hashrate_th", "temperature_c", "power_w"),
     series: Series | None = None,
-    chunk_rows: int | None = None,
 ) -> DataFrame:
-    """Fill each sensor from at most ``limit`` rows back, then drop rows still incomplete."""
+    """Fill each sensor from at most ``limit`` rows back, then drop rows still incomplete.
+
+    Slots bring the last ``limit`` rows of their predecessors, so nothing is numbered.
+    """
     columns = [c for c in (columns or SENSORS) if c in df.columns]
-    chunks = Chunks(df, before=limit, series=series, chunk_rows=chunk_rows)
-    frame = chunks.rows(limit + 1)
+    rows, slot = with_halo(df, limit, columns, series or Series.of(df))
+    frame = slot.rowsBetween(-limit, Window.currentRow)
     filled = {c: F.last(c, ignorenulls=True).over(frame) for c in columns}
-    chunks.df = chunks.df.select(
-        *[filled[c].alias(c) if c in filled else F.col(c) for c in chunks.df.columns]
-    )
-    return chunks.finish().dropna(subset=list(required))
+    out = rows.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in rows.columns])
+    return own_rows(out).dropna(subset=list(required))
 
 
 def clamp_bounds(df: DataFrame, bounds: dict = BOUNDS) -> DataFrame:
@@ -80,7 +81,7 @@ def zscore_per_miner(df: DataFrame, columns: tuple = ZSCORE_COLUMNS) -> DataFram
     )
     joined = df.join(stats, df["miner_id"] == stats["__miner"], "left")
     return joined.select(*df.columns, *[
-        _standardize(c, F.col(f"__m_{c}"), F.col(f"__s_{c}")) for c in columns
+        standardized(c, F.col(f"__m_{c}"), F.col(f"__s_{c}")) for c in columns
     ])
 
 
@@ -94,11 +95,11 @@ def zscore_causal(
     chunks.add(**{f"__m_{c}": F.avg(c).over(frame) for c in columns})
     chunks.add(**{f"__s_{c}": F.stddev_samp(c).over(frame) for c in columns})
     return chunks.finish().select(*df.columns, *[
-        _standardize(c, F.col(f"__m_{c}"), F.col(f"__s_{c}")) for c in columns
+        standardized(c, F.col(f"__m_{c}"), F.col(f"__s_{c}")) for c in columns
     ])
 
 
-def _standardize(c, mean, std):
+def standardized(c, mean, std):
     return ((F.col(c) - mean) / F.when(std == 0, F.lit(1.0)).otherwise(std)).alias(f"{c}_zscore")
 
 

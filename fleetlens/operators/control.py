@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fleetlens.functions.scores import half_up
 from fleetlens.operators.kpi import with_spec
-from fleetlens.operators.ordering import INDEX, SLOT, TIE_BREAK, Series, with_row_index
+from fleetlens.operators.ordering import SLOT, TIE_BREAK, Series
 from fleetlens.schema import (
     DEFAULT_FREQ_MAX_MHZ, DEFAULT_FREQ_MIN_MHZ, ControlConfig, DashboardControlConfig,
 )
-from fleetlens.session import cut_lineage
 
 MICROS = 1_000_000
 
@@ -153,118 +147,70 @@ def emergency_shutdown(df: DataFrame, cfg: ControlConfig = ControlConfig()) -> D
 # Safety guard
 #
 # Which action is approved depends on the last approved one, so a device is
-# sequential - but a chunk of its actions only needs one number from the past:
-# the time of the last approved action.  Each chunk therefore first reports its
-# transfer function (entry time -> exit time; only the actions of the first
-# interval can differ), the functions are folded per device in two bounded
-# levels, and then every chunk runs on its own with its known entry time.
+# sequential - but a block of its actions only needs one number from the past:
+# the time of the last approved action.  What a block makes of that number is a
+# step function, kept as a sorted array of (accepts_upto, exit): an entry time
+# up to the first ``accepts_upto`` that is not less leaves as that ``exit``, a
+# later one passes through.  Composing two such functions is associative, so the
+# blocks of a device are folded in two bounded levels, and every block is then
+# walked on its own from its known entry time.  All of it are array functions:
+# nothing runs in Python and nothing runs before the result is asked for.
 # ---------------------------------------------------------------------------
 
-GUARD_CHUNK = 8192
+GUARD_CHUNK = 256
 GUARD_GROUP = 512
 NEVER = -(2 ** 62)
 ALWAYS = 2 ** 62
+_STEPS = "array<struct<accepts_upto:bigint,exit:bigint>>"
 
-_TRANSFER = "miner_id string, block long, accepts_upto long, exit long"
-_ENTRY = "miner_id string, block long, entry long"
-
-
-def _successors(t: np.ndarray, is_set: np.ndarray, gap: int) -> np.ndarray:
-    """Next action approved after each action; ``len(t)`` when there is none."""
-    n = len(t)
-    next_set = np.searchsorted(t, t + gap, side="left")
-    flags = np.flatnonzero(~is_set)
-    at = np.searchsorted(flags, np.arange(n), side="right")
-    next_flag = np.append(flags, n)[at]
-    return np.minimum(next_set, next_flag)
-
-
-def _transfer(pdf: pd.DataFrame, gap: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("__idx")
-    t, is_set = pdf["__t"].to_numpy(), pdf["__set"].to_numpy(dtype=bool)
-    follow = _successors(t, is_set, gap)
-    exits = t.copy()
-    for k in range(len(t) - 1, -1, -1):
-        if follow[k] < len(t):
-            exits[k] = exits[follow[k]]
-    limit = np.where(is_set, t - gap, ALWAYS)
-    # Only the first sure acceptance and what precedes it can be an entry point.
-    sure = np.flatnonzero(~is_set | (t >= t[0] + gap))
-    stop = sure[0] + 1 if len(sure) else len(t)
-    limit, exits = limit[:stop], exits[:stop]
-    fresh = np.append(True, limit[1:] > limit[:-1])
-    return pd.DataFrame({
-        "miner_id": pdf["miner_id"].iloc[0], "block": pdf["__block"].iloc[0],
-        "accepts_upto": limit[fresh], "exit": exits[fresh],
-    })
-
-
-def _pass_through(limits: np.ndarray, exits: np.ndarray, entry: int) -> int:
-    k = np.searchsorted(limits, entry, side="left")
-    return int(exits[k]) if k < len(limits) else entry
-
-
-def _functions(pdf: pd.DataFrame):
-    for block, part in pdf.sort_values(["block", "accepts_upto"]).groupby("block", sort=True):
-        yield block, part["accepts_upto"].to_numpy(), part["exit"].to_numpy()
-
-
-def _compose(pdf: pd.DataFrame, group: int) -> pd.DataFrame:
-    """Transfer function of consecutive blocks, in the same form."""
-    limits, exits = [], []
-    for _, lim, out in _functions(pdf):
-        exits = [_pass_through(lim, out, e) for e in exits]
-        top = limits[-1] if limits else None
-        for a, b in zip(lim, out):
-            if top is None or a > top:
-                limits.append(int(a))
-                exits.append(int(b))
-    return pd.DataFrame({
-        "miner_id": pdf["miner_id"].iloc[0], "block": int(pdf["block"].iloc[0]) // group,
-        "accepts_upto": limits, "exit": exits,
-    })
-
-
-def _entries(pdf: pd.DataFrame, entry: int) -> pd.DataFrame:
-    rows = []
-    for block, lim, out in _functions(pdf):
-        rows.append((pdf["miner_id"].iloc[0], int(block), entry))
-        entry = _pass_through(lim, out, entry)
-    return pd.DataFrame(rows, columns=["miner_id", "block", "entry"])
-
-
-def _decide(frames: Iterator[pd.DataFrame], gap: int) -> Iterator[pd.DataFrame]:
-    """Walk rows sorted by (device, block, position); batches may cut a block anywhere."""
-    current, last = None, NEVER
-    for pdf in frames:
-        approved, seen = [], []
-        for miner, block, entry, t, limited in zip(
-            pdf["miner_id"].tolist(), pdf["__block"].tolist(), pdf["__entry"].tolist(),
-            pdf["__t"].tolist(), pdf["__set"].tolist(),
-        ):
-            if (miner, block) != current:
-                current, last = (miner, block), entry
-            seen.append(last)
-            ok = not limited or t - last >= gap
-            approved.append(ok)
-            if ok:
-                last = t
-        yield pdf.assign(__approved=approved, __last=np.array(seen, dtype="int64"))
-
-
-def _block_entries(live: DataFrame, gap: int, group: int) -> DataFrame:
-    """Time of the last approved action before each block of the devices that have several."""
-    spark = live.sparkSession
-    slim = live.where("__blocks > 1").select("miner_id", "__block", "__idx", "__t", "__set")
-    blocks = slim.groupBy("miner_id", "__block").applyInPandas(lambda p: _transfer(p, gap), _TRANSFER)
-    blocks = cut_lineage(spark, blocks.withColumn("g", F.floor(F.col("block") / group)))
-    groups = blocks.groupBy("miner_id", "g").applyInPandas(lambda p: _compose(p, group), _TRANSFER)
-    group_entry = groups.groupBy("miner_id").applyInPandas(lambda p: _entries(p, NEVER), _ENTRY)
-    entered = blocks.join(
-        group_entry.select("miner_id", F.col("block").alias("g"), "entry"), ["miner_id", "g"]
-    )
-    return entered.groupBy("miner_id", "g").applyInPandas(
-        lambda p: _entries(p.drop(columns=["entry"]), int(p["entry"].iloc[0])), _ENTRY)
+
+def _passes(a: Column, last: Column, gap: int) -> Column:
+    return ~a["limited"] | (a["t"] - last >= gap)
+
+
+def _step_function(rows: Column, gap: int) -> Column:
+    """What a block of rows (sorted by time) makes of the time of the last approved action before it."""
+    limit = lambda a: F.when(a["limited"], a["t"] - gap).otherwise(F.lit(ALWAYS))
+    # The first row that is approved whatever came before, and the rows in front of it, can be entry points.
+    sure = F.array_position(F.transform(rows, lambda a: ~a["limited"] | (a["t"] >= F.get(rows, F.lit(0))["t"] + gap)), True)
+    head = F.slice(rows, 1, F.when(sure > 0, sure.cast("int")).otherwise(F.size(rows)))
+    fresh = F.filter(F.transform(head, lambda a, i: F.struct(i.alias("i"), limit(a).alias("accepts_upto"), a["t"].alias("t"))),
+                     lambda x: (x["i"] == 0) | (x["accepts_upto"] > limit(F.get(rows, x["i"] - 1))))
+    return F.transform(fresh, lambda x: F.struct(
+        x["accepts_upto"].alias("accepts_upto"),
+        F.aggregate(F.slice(rows, x["i"] + 2, F.size(rows)), x["t"],
+                    lambda last, a: F.when(_passes(a, last, gap), a["t"]).otherwise(last)).alias("exit")))
+
+
+def _leaves(steps: Column, entry: Column) -> Column:
+    return F.coalesce(F.get(F.filter(steps, lambda x: x["accepts_upto"] >= entry), F.lit(0))["exit"], entry)
+
+
+def _composed(first: Column, then: Column) -> Column:
+    """The step function of two blocks in a row."""
+    top = F.when(F.size(first) > 0, F.element_at(first, -1)["accepts_upto"]).otherwise(F.lit(NEVER - 1))
+    through = F.transform(first, lambda x: F.struct(x["accepts_upto"].alias("accepts_upto"), _leaves(then, x["exit"]).alias("exit")))
+    return F.concat(through, F.filter(then, lambda x: x["accepts_upto"] > top))
+
+
+def _entered(parts: Column, entry: Column, kind: str) -> Column:
+    """(at, entry) of consecutive blocks given as (at, steps), from the entry time of the first."""
+    start = F.struct(entry.alias("now"), F.array().cast(f"array<struct<at:{kind},entry:bigint>>").alias("seen"))
+    return F.aggregate(parts, start, lambda acc, p: F.struct(
+        _leaves(p["steps"], acc["now"]).alias("now"),
+        F.concat(acc["seen"], F.array(F.struct(p["at"].alias("at"), acc["now"].alias("entry")))).alias("seen")))["seen"]
+
+
+def _walked(rows: Column, entry: Column, gap: int) -> Column:
+    """(last, approved) of each row of a block."""
+    start = F.struct(entry.alias("now"), F.array().cast("array<struct<last:bigint,approved:boolean>>").alias("seen"))
+
+    def step(acc: Column, a: Column) -> Column:
+        ok = _passes(a, acc["now"], gap)
+        return F.struct(F.when(ok, a["t"]).otherwise(acc["now"]).alias("now"), F.concat(
+            acc["seen"], F.array(F.struct(acc["now"].alias("last"), ok.alias("approved")))).alias("seen"))
+
+    return F.aggregate(rows, start, step)["seen"]
 
 
 def safety_guard(
@@ -276,12 +222,14 @@ def safety_guard(
     1. At or above the shutdown temperature only maintenance flags pass.
     2. A ``set_*`` action within the minimum interval of the device's last
        approved action (of any kind) is rejected.
-    3. Frequencies are clamped to the hardware limits.
+    3. Frequencies are clamped to the hardware limits; ``final_reason`` says so.
+
+    A block holds at most ``chunk_rows`` actions of one time slot; rows without a
+    device or a time are one device and the first slot.
     """
-    spark = actions.sparkSession
     base = series or Series.of(actions)
-    series = Series(base.keys, (*base.order, "rule_no"), base.slots)
     gap = cfg.min_interval_s * MICROS
+    keys = [f"__k{i}" for i in range(len(base.keys))]
     too_hot = (F.col("temperature_c") >= cfg.shutdown_c) & (F.col("action") != "flag_maintenance")
     too_hot = F.coalesce(too_hot, F.lit(False))
     rejected = actions.where(too_hot).select(
@@ -290,39 +238,49 @@ def safety_guard(
         F.format_string(f"Thermal shutdown: %.1fC >= {cfg.shutdown_c}C", half_up(F.col("temperature_c"), 1))
         .alias("rejection_reason"),
     )
-    live = (
-        with_row_index(actions.where(~too_hot), series, name="__idx", total="__n")
-        .withColumns({
-            "__block": F.floor(F.col("__idx") / chunk_rows),
-            "__blocks": F.ceil(F.col("__n") / chunk_rows),
-            "__t": F.unix_micros(F.col("timestamp").cast("timestamp")),
-            "__set": F.col("action").startswith("set_"),
-        })
-    )
-    # Read twice: for the transfer functions and for the decisions.
-    live = cut_lineage(spark, live)
-    entries = _block_entries(live, gap, group).select(
-        F.col("miner_id").alias("__miner"), F.col("block").alias("__at"), "entry")
-    ready = live.join(
-        entries, (F.col("miner_id") == F.col("__miner")) & (F.col("__block") == F.col("__at")), "left"
-    ).select(*live.columns, F.coalesce("entry", F.lit(NEVER)).alias("__entry"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    in_order = ready.repartition(tasks, "miner_id", "__block").sortWithinPartitions("miner_id", "__block", "__idx")
-    out_schema = T.StructType([
-        *ready.schema.fields,
-        T.StructField("__approved", T.BooleanType()),
-        T.StructField("__last", T.LongType()),
-    ])
-    decided = in_order.mapInPandas(lambda frames: _decide(frames, gap), out_schema)
+    live = actions.where(~too_hot).select(
+        *[F.col(c).alias(k) for c, k in zip(base.keys, keys)], F.struct(*[F.expr(e) for e in base.slots]).alias("__slot"),
+        F.struct(*[F.col(c) for c in (*base.order, "rule_no")]).alias("__order"),
+        F.coalesce(F.unix_micros(F.col("timestamp").cast("timestamp")), F.lit(0)).alias("t"),
+        F.col("action").startswith("set_").alias("limited"), F.struct(*actions.columns).alias("a"))
+    inside = Window.partitionBy(*keys, "__slot").orderBy("__order")
+    live = live.withColumn("n", F.row_number().over(inside) - 1).withColumn("__part", F.floor(F.col("n") / chunk_rows))
+    # The window's exchange serves the blocks too.
+    rows = F.array_sort(F.collect_list(F.struct("n", "t", "limited", "a"))).alias("rows")
+    blocks = live.groupBy(*keys, "__slot", "__part").agg(rows).select(*keys, F.struct("__slot", "__part").alias("at"), "rows")
+
+    kind = blocks.schema["at"].dataType.simpleString()
+    steps = blocks.select(*keys, "at", _step_function(F.col("rows"), gap).alias("steps"))
+    along = Window.partitionBy(*keys).orderBy("at")
+    grouped = steps.withColumn("g", F.floor((F.row_number().over(along) - 1) / group)).groupBy(*keys, "g").agg(
+        F.array_sort(F.collect_list(F.struct("at", "steps"))).alias("parts"))
+    folded = grouped.withColumn("steps", F.aggregate(
+        "parts", F.array().cast(_STEPS), lambda acc, p: _composed(acc, p["steps"])))
+    heads = folded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("g").alias("at"), "steps"))).alias("groups"))
+    heads = heads.select(*[F.col(k).alias(f"{k}h") for k in keys], F.inline(_entered(F.col("groups"), F.lit(NEVER), "bigint")).alias("gh", "from"))
+    same = lambda mark: [F.col(k).eqNullSafe(F.col(f"{k}{mark}")) for k in keys]
+    entries = folded.join(heads, [F.col("g") == F.col("gh"), *same("h")]).select(
+        *[F.col(k).alias(f"{k}e") for k in keys], F.inline(_entered(F.col("parts"), F.col("from"), kind)).alias("ate", "entry"))
+
+    ready = blocks.join(entries, [F.col("at").eqNullSafe(F.col("ate")), *same("e")])
+    decided = ready.select(F.explode(F.arrays_zip("rows", _walked(F.col("rows"), F.col("entry"), gap).alias("seen"))).alias("x"))
+    decided = decided.select("x.rows.a.*", F.col("x.rows.t").alias("__t"), F.col("x.seen.last").alias("__last"), F.col("x.seen.approved").alias("approved"))
     ago = (F.col("__t") - F.col("__last")) / MICROS
     checked = decided.select(
-        *actions.columns,
-        F.col("__approved").alias("approved"),
-        F.when(~F.col("__approved"), F.format_string("Rate limited: last action %ds ago", F.floor(ago + 0.5)))
+        *actions.columns, "approved",
+        F.when(~F.col("approved"), F.format_string("Rate limited: last action %ds ago", F.floor(ago + 0.5)))
         .alias("rejection_reason"),
     )
-    bounded = F.least(F.greatest(F.col("value"), F.col("freq_min_mhz")), F.col("freq_max_mhz"))
+    return with_clamp(rejected.unionByName(checked))
+
+
+def with_clamp(decided: DataFrame) -> DataFrame:
+    """Adds the value that is carried out, and the reason with the limits where they changed it."""
+    lo, hi, value = F.col("freq_min_mhz"), F.col("freq_max_mhz"), F.col("value")
     clamps = F.col("approved") & (F.col("action") == "set_frequency") & F.col("has_spec")
-    return rejected.unionByName(checked).withColumn(
-        "final_value", F.when(clamps, bounded).otherwise(F.col("value"))
-    )
+    bounded = F.when(clamps, F.least(F.greatest(value, lo), hi)).otherwise(value)
+    out = decided.withColumn("final_value", bounded)
+    if "reason" not in decided.columns:
+        return out
+    note = F.format_string("%s (clamped to [%d, %d])", F.col("reason"), lo.cast("long"), hi.cast("long"))
+    return out.withColumn("final_reason", F.when(clamps & (F.col("final_value") != value), note).otherwise(F.col("reason")))

@@ -1,9 +1,8 @@
 """Exact score curves, metrics and threshold selection.
 
 Rows are aggregated to one row per distinct score before anything is ordered,
-and the ordered pass works on score slots with edges taken from approximate
-quantiles, so a curve over any number of distinct scores is computed by many
-tasks.  The edges only place the slots; results are exact.
+and the ordered pass is a scan over range partitions (``ordered_scan``), so a
+curve over any number of distinct scores is computed by many tasks, exactly.
 """
 
 from __future__ import annotations
@@ -11,21 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.ordering import Series, running_totals
-
-MAX_SLOTS = 1024
-
-
-def value_slots(df: DataFrame, col: str) -> tuple:
-    """SQL expression of a slot number that never decreases with ``col``."""
-    n = min(MAX_SLOTS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    edges = df.approxQuantile(col, [i / n for i in range(1, n)], 1.0 / (4 * n))
-    edges = sorted(set(edges))
-    if not edges:
-        return ("0",)
-    listed = ", ".join(f"{e!r}D" for e in edges)
-    return (f"size(filter(array({listed}), e -> e <= {col}))",)
-
+from fleetlens.operators.ordered_scan import prefix_sums
 
 def score_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row per distinct score with counts of rows scoring at least that much."""
@@ -34,10 +19,7 @@ def score_curve(df: DataFrame, label: str, score: str) -> DataFrame:
         .groupBy("threshold")
         .agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
     )
-    series = Series(keys=(), order=("threshold",), slots=value_slots(groups, "threshold"))
-    run = running_totals(
-        groups, series, {"tp": F.col("pos"), "fp": F.col("neg")}, grand=("tp", "fp"), descending=True
-    )
+    run = prefix_sums(groups, [F.desc("threshold")], {"tp": F.col("pos"), "fp": F.col("neg")}, grand=("tp", "fp"))
     tp, fp, p, n = F.col("tp"), F.col("fp"), F.col("tp_all"), F.col("fp_all")
     precision = tp / (tp + fp)
     recall = F.when(p > 0, tp / p).otherwise(F.lit(1.0))
@@ -175,8 +157,7 @@ def exact_percentile(df: DataFrame, col: str, fraction: float, name: str = "perc
         df.where(F.col(col).isNotNull())
         .groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     )
-    series = Series(keys=(), order=("v",), slots=value_slots(groups, "v"))
-    run = running_totals(groups, series, {"upto": F.col("n")}, grand=("upto",))
+    run = prefix_sums(groups, [F.asc("v")], {"upto": F.col("n")}, grand=("upto",))
     pos = F.lit(fraction) * (F.col("upto_all") - 1)
     return (
         run.agg(

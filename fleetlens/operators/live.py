@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.ratios import signal_ratios
 from fleetlens.operators import features as Ft
 from fleetlens.operators.clean import final_fill
-from fleetlens.operators.ordering import Series
+from fleetlens.operators.ordering import SLOT, Series
 from fleetlens.operators.peers import peer_features
 from fleetlens.operators.rolling import Roll, newest_rolls
 from fleetlens.schema import FeatureConfig
@@ -16,6 +16,22 @@ from fleetlens.schema import FeatureConfig
 MIN_HISTORY = 360
 
 
+def reach_of(cfg: FeatureConfig) -> int:
+    """Rows of a device that its newest features depend on."""
+    return max(cfg.longest, cfg.acf_window + 1, 2 * cfg.peak_window)
+
+
+def newest_slots(df: DataFrame, rows: int, series: Series) -> DataFrame:
+    """Without the slots that have ``rows`` newer rows of their device behind them; only slots are ordered, so a long history never is one task."""
+    if SLOT not in df.columns:
+        return df  # bounded already, as live state is
+    keys = list(series.keys)
+    newer = Window.partitionBy(*keys).orderBy(F.desc(SLOT)).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("__c")).withColumn("__newer", F.coalesce(F.sum("__c").over(newer), F.lit(0)))
+    wanted = counts.where(F.col("__newer") < rows).select(*[F.col(c).alias(f"__w_{c}") for c in (*keys, SLOT)])
+    return df.join(wanted, [F.col(c).eqNullSafe(F.col(f"__w_{c}")) for c in (*keys, SLOT)], "left_semi")
+
+
 def newest_features(
     history: DataFrame, cfg: FeatureConfig = FeatureConfig(), min_history: int = MIN_HISTORY,
     peer_group: tuple = ("container_id", "timestamp"), series: Series | None = None,
@@ -23,15 +39,16 @@ def newest_features(
     """The feature matrix row of every device's newest reading.
 
     ``history`` is cleaned and carries the KPI columns.  Devices with fewer than
-    ``min_history`` rows are still warming up and are left out.  At most the
-    longest window of each device is kept (Spark prunes to that before the
-    shuffle); every window then is a conditional aggregate over recency ranks.
+    ``min_history`` rows are still warming up and are left out.  The history need
+    not hold more than ``reach_of(cfg)`` rows of a device (live state holds so
+    many); of a whole table, slots that are too old go first, by their row counts.
+    Every window then is a conditional aggregate over recency ranks.
     """
     series = series or Series.of(history)
     df = signal_ratios(history)
     newest_first = Window.partitionBy(*series.keys).orderBy(*[F.desc(c) for c in series.order])
-    reach = max(cfg.longest, cfg.acf_window + 1, 2 * cfg.peak_window)
-    recent = df.withColumn("__r", F.row_number().over(newest_first)).where(F.col("__r") <= reach)
+    reach = reach_of(cfg)
+    recent = newest_slots(df, reach, series).withColumn("__r", F.row_number().over(newest_first)).where(F.col("__r") <= reach)
     oldest_first = Window.partitionBy(*series.keys).orderBy(F.desc("__r"))
 
     acf = [c for c in Ft.ACF_COLUMNS if c in df.columns]

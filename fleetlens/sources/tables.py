@@ -25,6 +25,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder of tables that this library wrote and no longer reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 # -- readers -------------------------------------------------------------------
 
 def read_telemetry(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -111,19 +117,32 @@ def write_parquet(df: DataFrame, path: str, by_day: bool = True) -> str:
     return path
 
 
-def cached_features(spark: SparkSession, root: str, source_stamp: str, build, version: int = FEATURES_VERSION) -> DataFrame:
-    """Features of this code version and source, built only when they are not there yet.
+def content_stamp(df: DataFrame, *also) -> str:
+    """Names the rows of a table, in any order, and whatever else decides a result (a configuration, say).
 
-    ``source_stamp`` names the state of the raw data (its newest timestamp or
-    snapshot id), so changed raw data gets a new folder.
+    Their number and the sum of their hashes: a changed, added or missing row gives
+    another name, also where the newest timestamp stays.
     """
-    path = f"{root}/features/v={version}/source={source_stamp}"
-    # _SUCCESS appears when the write has committed, so a broken build is redone.
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")).alias("h")).first()
+    return hashlib.sha256(repr((df.columns, row["n"], row["h"], *also)).encode()).hexdigest()[:16]
+
+
+def built_once(spark: SparkSession, path: str, build) -> DataFrame:
+    """The table at ``path``, built when it is not there yet; _SUCCESS appears when a write has committed, so a broken one is redone."""
     if not path_exists(spark, f"{path}/_SUCCESS"):
         write_parquet(build(), path, by_day=False)
     return spark.read.parquet(path)
 
 
+def cached_features(spark: SparkSession, root: str, source_stamp: str, build, version: int = FEATURES_VERSION) -> DataFrame:
+    """Features of this code version and source, built only when they are not there yet.
+
+    ``source_stamp`` is the ``content_stamp`` of the raw data and the feature
+    configuration, so changed data or settings get a new folder.
+    """
+    return built_once(spark, f"{root}/features/v={version}/source={source_stamp}", build)
+
+
 # -- queries ---------------------------------------------------------------------
 
 def sql_query(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:

@@ -37,6 +37,23 @@ def append_sink(stream: DataFrame, path: str, checkpoint: str, every: str | None
     return writer.start(path)
 
 
+def flush_batches(stream: DataFrame, path: str, every: str | None = None) -> None:
+    """Buffered append by batch id: a flush writes its own folder, so a retried batch replaces what it wrote before."""
+
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(flush).option("checkpointLocation", f"{path}/checkpoint")
+    query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    if not every:
+        query.awaitTermination()
+
+
+def flushed(spark: SparkSession, path: str) -> DataFrame:
+    """All flushed rows with the batch that brought them."""
+    return spark.read.parquet(f"{path}/rows")
+
+
 def drain(stream: DataFrame, name: str) -> str:
     """Run a stream over everything available into a fresh folder; returns its path."""
     spark = stream.sparkSession

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetlens.functions.scores import half_up
-from fleetlens.operators.control import MICROS
+from fleetlens.operators.control import MICROS, with_clamp
 from fleetlens.operators.ordering import TIE_BREAK
 from fleetlens.operators.risk import with_levels
 from fleetlens.schema import ControlConfig, RiskConfig
@@ -113,13 +113,8 @@ def live_guard(actions: DataFrame, cfg: ControlConfig = ControlConfig()) -> Data
         statefulProcessor=ActionInterval(order, cfg.min_interval_s * MICROS), outputStructType=out,
         outputMode="Append", timeMode="None",
     )
-    bounded = F.least(F.greatest(F.col("value"), F.col("freq_min_mhz")), F.col("freq_max_mhz"))
-    clamps = F.col("approved") & (F.col("action") == "set_frequency") & F.col("has_spec")
     reason = F.when(F.col("too_hot"), F.format_string(
         f"Thermal shutdown: %.1fC >= {cfg.shutdown_c}C", half_up(F.col("temperature_c"), 1))
     ).when(~F.col("approved"), F.format_string(
         "Rate limited: last action %ds ago", F.floor(F.col("since_us") / MICROS + 0.5)))
-    return decided.withColumns({
-        "rejection_reason": reason,
-        "final_value": F.when(clamps, bounded).otherwise(F.col("value")),
-    }).drop("at_us", "rate_limited", "too_hot", "since_us")
+    return with_clamp(decided.withColumn("rejection_reason", reason)).drop("at_us", "rate_limited", "too_hot", "since_us")

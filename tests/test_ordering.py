@@ -100,7 +100,8 @@ def test_forward_fill_reaches_five_rows(spark):
     pdf = pd.DataFrame({
         "event_id": range(len(values)), "timestamp": [START + pd.Timedelta(minutes=i) for i in range(len(values))],
         "miner_id": "m", "hashrate_th": values, "temperature_c": 50.0, "power_w": 1.0})
-    out = forward_fill(missing_as_null(spark.createDataFrame(pdf)), chunk_rows=4).toPandas().sort_values("event_id")
+    every = Series(order=("timestamp", "event_id"), slots=("unix_seconds(cast(timestamp as timestamp)) div 120",))  # two rows a slot
+    out = forward_fill(missing_as_null(spark.createDataFrame(pdf)), series=every).toPandas().sort_values("event_id")
     assert out.event_id.tolist() == [i for i in range(len(values)) if i != 12]
     assert out.hashrate_th.tolist() == [1.0] * 6 + [2.0] * 6 + [3.0]
 

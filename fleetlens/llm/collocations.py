@@ -10,13 +10,17 @@ frequent phrase is frequent, so no frequent phrase can be missed; the sample
 decides how many passes there are, never what is found.
 
 The proposed phrases are known to the tasks as a bit filter of fixed size
-(``Bits``); a phrase in it by chance is counted, exactly, and is then too rare or
-rightly frequent. Phrases are counted per slice of text in numpy, and per
-language and phrase in Spark, with partial sums before the shuffle.
+(``Bits``); a phrase in it by chance is counted as well, and is then too rare or
+rightly frequent. These passes count by a 64-bit key of language and words: two
+phrases of one key could only make the key look frequent. A last pass counts the
+phrases of the frequent keys by their words, so what is returned is exact.
+Counts are made per slice of text in numpy, then summed in Spark, partially
+before the shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,45 +53,33 @@ AT_ONCE = 8 << 20
 DEALT = 64
 
 
-def _counts(texts: pa.Array, langs: pa.Array, old: Bits | None, new: Bits | None) -> pa.RecordBatch:
-    """Counts of one slice: phrases within reach of ``new`` but not of ``old``; with no ``old`` also words, and their number as the phrase of no word."""
-    data, offsets = buffer_of(texts)
-    data = LOWER[data]
-    words = Words.of(data, offsets, APART)
-    coded = pc.fill_null(langs, "und").dictionary_encode()
-    names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-    lang = np.repeat(code, words.counts).astype(np.uint64)
-    # a phrase lies in one piece: no break between its first and its last word, and one row
-    breaks = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum(BREAK[data], out=breaks[1:])
-    piece = breaks[words.starts] + np.repeat(np.arange(len(words.counts)), words.counts) if len(words) else np.zeros(0, dtype=np.int64)
-    spaced, at = words.spaced()
-    # equal codes need not name equal languages in another slice, so the name's hash goes into the key
-    seed = np.array([mixed(np.array([int.from_bytes(n.encode()[:7], "little") + (len(n) << 56)], dtype=np.uint64))[0] for n in names.to_pylist()] or [0], dtype=np.uint64)
-    salt = seed[lang.astype(np.int64)] if len(words) else np.zeros(0, dtype=np.uint64)
-    a, b = words.hashes(0), words.hashes(1)
-    out = []
-    previous = None
-    for k in range(1, LONGEST + 1):
-        n = max(len(words) - k + 1, 0)
-        key = mixed(window_hashes(a, k) ^ salt[:n])
-        whole = piece[k - 1:k - 1 + n] == piece[:n]
-        if k == 1:
-            wanted = np.full(n, old is None)
-        else:
-            wanted = whole & _reach(new, previous, n)
-            if old is not None:
-                wanted &= ~_reach(old, previous, n)
-        previous = key
-        out.append(_grouped(np.flatnonzero(wanted), k, key, window_hashes(b, k, 1), salt, lang, spaced, at, names))
-        if new is None:
-            break
-    if old is None:
-        totals = np.bincount(lang.astype(np.int64), minlength=len(names))
-        out.append(pa.RecordBatch.from_arrays(
-            [names.cast(pa.string()), pa.array([""] * len(names), pa.string()), pa.array(np.zeros(len(names), np.int32)), pa.array(np.zeros(len(names), np.int64)), pa.array(totals.astype(np.int64))],
-            names=["lang", "phrase", "k", "key", "c"]))
-    return pa.Table.from_batches(out).combine_chunks().to_batches()
+class Slice:
+    """The words of one slice of text, lower-cased, with the piece and the language of each."""
+
+    def __init__(self, texts: pa.Array, langs: pa.Array):
+        data, offsets = buffer_of(texts)
+        data = LOWER[data]
+        self.words = words = Words.of(data, offsets, APART)
+        coded = pc.fill_null(langs, "und").dictionary_encode()
+        self.names = coded.dictionary.cast(pa.string())
+        self.lang = np.repeat(coded.indices.to_numpy(zero_copy_only=False), words.counts).astype(np.int64)
+        # a phrase lies in one piece: no break between its first and its last word, and one row
+        breaks = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum(BREAK[data], out=breaks[1:])
+        self.piece = breaks[words.starts] + np.repeat(np.arange(len(words.counts)), words.counts)
+        # codes of languages are those of the slice, so the name itself goes into the keys
+        seeds = [mixed(np.array([int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8).digest(), "little")], dtype=np.uint64))[0] for n in self.names.to_pylist()]
+        self.salt = np.array([*seeds, 0], dtype=np.uint64)[self.lang]
+        self.first = words.hashes(0)
+
+    def keys(self, k: int) -> np.ndarray:
+        """A key of the language and the ``k`` words from each word on."""
+        found = window_hashes(self.first, k)
+        return mixed(found ^ self.salt[:len(found)])
+
+    def whole(self, k: int) -> np.ndarray:
+        n = max(len(self.words) - k + 1, 0)
+        return self.piece[k - 1:k - 1 + n] == self.piece[:n]
 
 
 def _reach(proposed: Bits, parts: np.ndarray, n: int) -> np.ndarray:
@@ -95,60 +87,91 @@ def _reach(proposed: Bits, parts: np.ndarray, n: int) -> np.ndarray:
     return has[:n] & has[1:1 + n]
 
 
-def _grouped(at: np.ndarray, k: int, key: np.ndarray, other: np.ndarray, salt: np.ndarray, lang: np.ndarray, spaced: np.ndarray, offsets: np.ndarray, names: pa.Array) -> pa.RecordBatch:
-    keys = key[at]
-    found, first, back, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    if not np.array_equal((other[at] ^ salt[at]), (other[at] ^ salt[at])[first][back]):
-        # two phrases share a key: tell them apart by both hashes
-        pairs = np.stack([keys, other[at] ^ salt[at]], axis=1)
-        both, first, counts = np.unique(pairs, axis=0, return_index=True, return_counts=True)
-        found = both[:, 0]
-    where = at[first]
-    lengths = offsets[where + k] - 1 - offsets[where]
-    text = gathered(spaced, offsets[where], lengths)
-    ends = np.zeros(len(where) + 1, dtype=np.int64)
-    np.cumsum(lengths, out=ends[1:])
-    phrase = pa.LargeStringArray.from_buffers(len(where), pa.py_buffer(ends), pa.py_buffer(text)).cast(pa.string())
-    return pa.RecordBatch.from_arrays(
-        [names.take(pa.array(lang[where].astype(np.int64))).cast(pa.string()), phrase, pa.array(np.full(len(where), k, np.int32)), pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))],
-        names=["lang", "phrase", "k", "key", "c"])
+def _key_counts(part: Slice, old: Bits | None, new: Bits | None) -> pa.RecordBatch:
+    """Counts by key of the phrases within reach of ``new`` but not of ``old``; with no ``old`` of all words too."""
+    keys, sizes, counts, before = [], [], [], None
+    for k in range(1, (LONGEST if new is not None else 1) + 1):
+        key = part.keys(k)
+        if k == 1:
+            wanted = key if old is None else key[:0]
+        else:
+            inside = part.whole(k) & _reach(new, before, len(key))
+            if old is not None:
+                inside &= ~_reach(old, before, len(key))
+            wanted = key[inside]
+        found, c = np.unique(wanted, return_counts=True)
+        keys.append(found.view(np.int64))
+        sizes.append(np.full(len(found), k, dtype=np.int32))
+        counts.append(c)
+        before = key
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sizes, counts)], names=["key", "k", "c"])
+
+
+def _named(part: Slice, frequent: Bits) -> Iterator[pa.RecordBatch]:
+    """The phrases whose keys may be frequent, counted by their words; and the number of words of each language as the phrase of no word."""
+    spaced, offsets = part.words.spaced()
+    second = part.words.hashes(1)
+    for k in range(1, LONGEST + 1):
+        key = part.keys(k)
+        at = np.flatnonzero(part.whole(k) & frequent.has(key))
+        other = window_hashes(second, k, 1)[at] ^ part.salt[at]
+        found, first, back, counts = np.unique(key[at], return_index=True, return_inverse=True, return_counts=True)
+        if not np.array_equal(other, other[first][back]):
+            # two phrases share a key: both hashes tell them apart
+            _, first, counts = np.unique(np.stack([key[at], other], axis=1), axis=0, return_index=True, return_counts=True)
+        where = at[first]
+        lengths = offsets[where + k] - 1 - offsets[where]
+        ends = np.zeros(len(where) + 1, dtype=np.int64)
+        np.cumsum(lengths, out=ends[1:])
+        phrase = pa.LargeStringArray.from_buffers(len(where), pa.py_buffer(ends), pa.py_buffer(gathered(spaced, offsets[where], lengths)))
+        yield pa.RecordBatch.from_arrays(
+            [part.names.take(pa.array(part.lang[where])), phrase.cast(pa.string()), pa.array(np.full(len(where), k, dtype=np.int32)), pa.array(counts)], names=["lang", "phrase", "k", "c"])
+    n = len(part.names)
+    yield pa.RecordBatch.from_arrays(
+        [part.names, pa.array([""] * n, pa.string()), pa.array(np.zeros(n, dtype=np.int32)), pa.array(np.bincount(part.lang, minlength=n))], names=["lang", "phrase", "k", "c"])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
+    for batch in batches:
+        for part in chunks_of_bytes(batch, "text", AT_ONCE):
+            yield Slice(part.column("text"), part.column("lang"))
 
 
 def _counting(old, new) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks_of_bytes(batch, "text", AT_ONCE):
-                yield from _counts(part.column("text"), part.column("lang"), old and old.value, new and new.value)
+        for part in _slices(batches):
+            yield _key_counts(part, old and old.value, new and new.value)
 
     return run
 
 
-def _frequent(docs: DataFrame, least: int, old, new, path: str) -> DataFrame:
-    """(lang, phrase, k, key, f) of the counted phrases that occur ``least`` times; k = 0 holds the number of words."""
-    counted = docs.mapInArrow(_counting(old, new), "lang string, phrase string, k int, key long, c long")
-    sums = counted.groupBy("lang", "phrase", "k", "key").agg(F.sum("c").alias("f"))
-    return stored(sums.where((F.col("f") >= least) | (F.col("k") == 0)), path)
+def _naming(frequent) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            yield from _named(part, frequent.value)
+
+    return run
 
 
 def _closed(docs: DataFrame, least: int, proposed: Bits | None) -> tuple[DataFrame, Bits, int]:
-    """All phrases that occur ``least`` times, by passes over ``docs`` until the border holds none that is not proposed."""
+    """((key, k) of all phrases that occur ``least`` times, proposals, passes): passes over ``docs`` go on until the border holds none that is not proposed."""
     spark = docs.sparkSession
     share = lambda bits: None if bits is None else spark.sparkContext.broadcast(bits)
     root, old, new, passes = scratch_path(spark, "phrases"), None, share(proposed), 0
     while True:
-        found = _frequent(docs, least, old, new, f"{root}/pass={passes}")
+        counted = docs.mapInArrow(_counting(old, new), "key long, k int, c long").groupBy("key", "k").agg(F.sum("c").alias("f"))
+        found = stored(counted.where(F.col("f") >= least), f"{root}/pass={passes}")
         passes += 1
-        bits = Bits.of(found.where(F.col("k").between(1, LONGEST - 1)), log2=FILTER_BITS)
         known = proposed if proposed is not None else Bits(log2=FILTER_BITS)
-        grown = known | bits
+        grown = known | Bits.of(found.where(F.col("k") < LONGEST), log2=FILTER_BITS)
         if np.array_equal(grown.data, known.data):
             return spark.read.parquet(root).drop("pass"), known, passes
-        # with no old filter words are counted again, so an empty one stands for what was within reach of nothing
+        # words are counted in the first pass; from now on only what is newly within reach
         proposed, old, new = grown, share(known), share(grown)
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least: int = FREQUENT, sample_docs: int = SAMPLE_DOCS) -> tuple[DataFrame, int]:
-    """((lang, phrase, k, key, f), passes over all documents): every phrase of 1 to 5 words that occurs ``least`` times in its language.
+    """((lang, phrase, k, f), passes over all documents): every phrase of 1 to 5 words that occurs ``least`` times in its language.
 
     k = 0 holds the number of words of a language. The counts are whole and exact whatever the sample is.
     """
@@ -159,8 +182,10 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", do
     sample = stored(docs.where(chosen).select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")), scratch_path(docs.sparkSession, "sample"))
     low = max(2, int(least * fraction * LOWERED)) if fraction < 1 else least
     _, proposed, _ = _closed(sample, low, None)
-    found, _, passes = _closed(slim, least, proposed)
-    return found, passes
+    keys, _, passes = _closed(slim, least, proposed)
+    named = slim.mapInArrow(_naming(docs.sparkSession.sparkContext.broadcast(Bits.of(keys))), "lang string, phrase string, k int, c long")
+    sums = named.groupBy("lang", "phrase", "k").agg(F.sum("c").alias("f")).where((F.col("f") >= least) | (F.col("k") == 0))
+    return stored(sums, scratch_path(docs.sparkSession, "named")), passes
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least: int = FREQUENT, top: int = TOP, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

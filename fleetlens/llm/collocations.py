@@ -157,17 +157,20 @@ def _closed(docs: DataFrame, least: int, proposed: Bits | None) -> tuple[DataFra
     """((key, k) of all phrases that occur ``least`` times, proposals, passes): passes over ``docs`` go on until the border holds none that is not proposed."""
     spark = docs.sparkSession
     share = lambda bits: None if bits is None else spark.sparkContext.broadcast(bits)
+    known = proposed if proposed is not None else Bits(log2=FILTER_BITS)
     root, old, new, passes = scratch_path(spark, "phrases"), None, share(proposed), 0
     while True:
         counted = docs.mapInArrow(_counting(old, new), "key long, k int, c long").groupBy("key", "k").agg(F.sum("c").alias("f"))
         found = stored(counted.where(F.col("f") >= least), f"{root}/pass={passes}")
         passes += 1
-        known = proposed if proposed is not None else Bits(log2=FILTER_BITS)
         grown = known | Bits.of(found.where(F.col("k") < LONGEST), log2=FILTER_BITS)
+        if old is not None:
+            old.destroy()
         if np.array_equal(grown.data, known.data):
             return spark.read.parquet(root).drop("pass"), known, passes
         # words are counted in the first pass; from now on only what is newly within reach
-        proposed, old, new = grown, share(known), share(grown)
+        old, new = new if new is not None else share(known), share(grown)
+        known = grown
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least: int = FREQUENT, sample_docs: int = SAMPLE_DOCS) -> tuple[DataFrame, int]:

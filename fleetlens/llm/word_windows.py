@@ -8,6 +8,7 @@ bases give 128 bits where windows are told apart by hash.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -182,6 +183,14 @@ class Bits:
             out.data[at:at + 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
         return out
 
+    @classmethod
+    def _unpacked(cls, packed: bytes, log2: int) -> "Bits":
+        return cls(np.frombuffer(zlib.decompress(packed), dtype=np.uint8), log2)
+
+    def __reduce__(self):
+        # sent to the workers packed: mostly zeros as long as the set is small against the filter
+        return Bits._unpacked, (zlib.compress(self.data.tobytes(), 1), self.log2)
+
     def __or__(self, other: "Bits") -> "Bits":
         return Bits(self.data | other.data, self.log2)
 

@@ -36,9 +36,9 @@ from fleetlens.session import scratch_path, stored
 #: Words of the longest phrase, and the least count of a candidate.
 LONGEST = 5
 FREQUENT = 100
-#: Documents the sample has (about; chosen by the hash of id and text), and the share of the expected count it asks for.
-SAMPLE_DOCS = 8_000
-LOWERED = 0.7
+#: Documents the sample has (about; chosen by the hash of id and text), and how many standard deviations below the expected count it still proposes a phrase.
+SAMPLE_DOCS = 20_000
+LOWERED = 2.0
 TOP = 2_000
 #: log2 of the bits of the filter of proposed phrases: 16 MB.
 FILTER_BITS = 27
@@ -48,7 +48,7 @@ SPACES = b" \t"
 BREAK, APART = byte_table(BREAKS), byte_table(BREAKS + SPACES)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-AT_ONCE = 8 << 20
+AT_ONCE = 2 << 20
 #: Parts into which a language is dealt before its best phrases are chosen.
 DEALT = 64
 
@@ -183,7 +183,8 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", do
     fraction = min(1.0, sample_docs / max(n, 1))
     chosen = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(1 << 32)) < F.lit(int(fraction * (1 << 32)))
     sample = stored(docs.where(chosen).select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")), scratch_path(docs.sparkSession, "sample"))
-    low = max(2, int(least * fraction * LOWERED)) if fraction < 1 else least
+    expected = least * fraction
+    low = max(2, int(expected - LOWERED * expected ** 0.5)) if fraction < 1 else least
     _, proposed, _ = _closed(sample, low, None)
     keys, _, passes = _closed(slim, least, proposed)
     named = slim.mapInArrow(_naming(docs.sparkSession.sparkContext.broadcast(Bits.of(keys))), "lang string, phrase string, k int, c long")

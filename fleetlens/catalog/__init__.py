@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "tables", "windows", "summaries", "evaluation", "control", "streams", "models")
+MODULES = ("cleaning", "tables", "windows", "summaries", "evaluation", "control", "streams", "models", "increments")
 
 
 def load() -> tuple[dict, dict]:

@@ -47,12 +47,14 @@ def str1(spark, sf):
 CUTS = ("2024-01-01 00:00:00", "2024-01-09 13:30:00", "2024-01-21 05:00:00", "9999-01-01 00:00:00")
 
 
-def arrivals(spark, sf, folder):
+BY_TIME = [f"ts >= TIMESTAMP_NTZ '{lo}' AND ts < TIMESTAMP_NTZ '{hi}'" for lo, hi in zip(CUTS, CUTS[1:])]
+
+
+def arrivals(spark, sf, folder, parts=BY_TIME):
     """Delivers the event log in parts, one at a time; yields the stream that sees what is there."""
     events = read_events(spark, sf)
-    for lo, hi in zip(CUTS, CUTS[1:]):
-        part = events.where((F.col("ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ts") < F.lit(hi).cast("timestamp_ntz")))
-        part.write.mode("append").parquet(folder)
+    for condition in parts:
+        events.where(condition).write.mode("append").parquet(folder)
         yield events_to_telemetry(In.read_stream(spark, folder, EVENT_SCHEMA))
 
 

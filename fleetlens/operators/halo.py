@@ -23,7 +23,7 @@ def with_halo(df: DataFrame, rows: int, columns: list[str], series: Series) -> t
     at least. Rows without a device are one device.
     """
     keys, order = list(series.keys), list(series.order)
-    tagged = df.withColumn(SLOT, F.struct(*[F.expr(e) for e in series.slots]))
+    tagged = df.withColumn(SLOT, F.struct(*[F.expr(e).alias(f"s{i}") for i, e in enumerate(series.slots)]))
     newest = Window.partitionBy(*keys, SLOT).orderBy(*[F.desc(c) for c in order])
     # A limit by row number is applied before the exchange already, so few rows are sent.
     ends = tagged.select(*dict.fromkeys([*keys, SLOT, *order, *columns])).withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= rows)

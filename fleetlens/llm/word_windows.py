@@ -22,21 +22,22 @@ from pyspark.sql import functions as F
 BYTE_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Text bytes that are hashed at a time.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 18
 #: log2 of the bits of a filter: 2**28 bits are 32 MB, whatever the input.
 FILTER_BITS = 28
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, room: int) -> np.ndarray:
-    out = np.full(room, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_kept_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, kept in steps of doubling size."""
-    return _powers(base, max(1 << 12, 1 << max(n - 1, 1).bit_length()))[:n]
+    """base**0 ... base**(n-1) modulo 2**64; one array a base is kept, as long as the longest asked for."""
+    kept = _kept_powers.get(base)
+    if kept is None or len(kept) < n:
+        kept = np.full(max(1 << 12, 1 << max(n - 1, 1).bit_length()), base, dtype=np.uint64)
+        kept[0] = 1
+        _kept_powers[base] = np.multiply.accumulate(kept, out=kept)
+    return kept[:n]
 
 
 @lru_cache(maxsize=None)

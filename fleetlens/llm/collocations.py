@@ -40,15 +40,15 @@ FREQUENT = 100
 SAMPLE_DOCS = 20_000
 LOWERED = 2.0
 TOP = 2_000
-#: log2 of the bits of the filter of proposed phrases: 16 MB.
-FILTER_BITS = 27
+#: log2 of the bits of the filter of proposed phrases: 8 MB.
+FILTER_BITS = 26
 #: What ends a piece, and what stands between words.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 SPACES = b" \t"
 BREAK, APART = byte_table(BREAKS), byte_table(BREAKS + SPACES)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 #: Parts into which a language is dealt before its best phrases are chosen.
 DEALT = 64
 
@@ -135,6 +135,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
     for batch in batches:
         for part in chunks_of_bytes(batch, "text", AT_ONCE):
             yield Slice(part.column("text"), part.column("lang"))
+        pa.default_memory_pool().release_unused()  # a batch's texts do not stay in the worker
 
 
 def _counting(old, new) -> Callable:
@@ -187,7 +188,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", do
     low = max(2, int(expected - LOWERED * expected ** 0.5)) if fraction < 1 else least
     _, proposed, _ = _closed(sample, low, None)
     keys, _, passes = _closed(slim, least, proposed)
-    named = slim.mapInArrow(_naming(docs.sparkSession.sparkContext.broadcast(Bits.of(keys))), "lang string, phrase string, k int, c long")
+    named = slim.mapInArrow(_naming(docs.sparkSession.sparkContext.broadcast(Bits.of(keys, log2=FILTER_BITS))), "lang string, phrase string, k int, c long")
     sums = named.groupBy("lang", "phrase", "k").agg(F.sum("c").alias("f")).where((F.col("f") >= least) | (F.col("k") == 0))
     return stored(sums, scratch_path(docs.sparkSession, "named")), passes
 

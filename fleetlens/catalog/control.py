@@ -8,7 +8,7 @@ from fleetlens.catalog.base import HEALTH_SQL, KPI, RISK, TEL, g, gridded, kpi,
 from fleetlens.catalog.cleaning import EVENTS_OF_FLEET, failure_events
 from fleetlens.catalog.windows import ORDER
 from fleetlens.operators import control as Ct
-from fleetlens.operators.alerts import alerts
+from fleetlens.operators.alerts import alerts, newest
 from fleetlens.operators.joins import active_failures
 from fleetlens.operators.ordering import INDEX
 from fleetlens.operators.risk import risk_levels
@@ -175,7 +175,7 @@ def ctl8(spark, sf):
 
 # -- alerts --------------------------------------------------------------------------
 
-@query("alr1_alerts", recursive(RISK_SQL, f"""
+ALERTS_SQL = f"""
 , s AS (SELECT *, rn - 1 AS step, {_fmt('temperature_c', 1)} AS deg FROM risk),
 a AS (
   SELECT event_id, miner_id, 0 AS o, 'CRITICAL' AS severity, 'THERMAL SHUTDOWN ' || deg || 'C > 95.0C' AS message FROM s WHERE temperature_c > 95
@@ -185,12 +185,29 @@ a AS (
     FROM s WHERE hashrate_realization < 0.7e0 AND operating_mode <> 'Shutdown'
   UNION ALL SELECT event_id, miner_id, 4, 'CRITICAL', 'AI Risk: CRITICAL - anomaly sustained ' || CAST(sustained AS VARCHAR) || ' min, immediate action needed' FROM s WHERE risk_level = 'CRITICAL' AND step % 20 = 0
   UNION ALL SELECT event_id, miner_id, 5, 'HIGH', 'AI Risk: HIGH - anomaly sustained ' || CAST(sustained AS VARCHAR) || ' min, schedule inspection' FROM s WHERE risk_level = 'HIGH' AND step % 20 = 0
-  UNION ALL SELECT event_id, miner_id, 6, 'MEDIUM', 'AI Risk: ELEVATED - watching anomaly (' || CAST(sustained AS VARCHAR) || ' min)' FROM s WHERE risk_level = 'ELEVATED' AND step % 60 = 0)
-SELECT event_id, miner_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY o) - 1 AS INTEGER) AS alert_no, severity, message FROM a"""))
+  UNION ALL SELECT event_id, miner_id, 6, 'MEDIUM', 'AI Risk: ELEVATED - watching anomaly (' || CAST(sustained AS VARCHAR) || ' min)' FROM s WHERE risk_level = 'ELEVATED' AND step % 60 = 0),
+numbered AS (SELECT a.event_id, a.miner_id, CAST(row_number() OVER (PARTITION BY a.event_id ORDER BY o) - 1 AS INTEGER) AS alert_no, severity, message, s."timestamp" AS ts
+  FROM a JOIN s ON s.event_id = a.event_id)"""
+
+
+@query("alr1_alerts", recursive(RISK_SQL, ALERTS_SQL + "SELECT event_id, miner_id, alert_no, severity, message FROM numbered"))
 def alr1(spark, sf):
     return alerts(risk(spark, sf, keep_index=True), step=INDEX).select("event_id", "miner_id", "alert_no", "severity", "message")
 
 
+@query("alr2_newest_alerts", recursive(RISK_SQL, ALERTS_SQL + "SELECT event_id, miner_id, alert_no, severity FROM numbered ORDER BY ts DESC, event_id DESC, alert_no DESC LIMIT 500"))
+def alr2_alerts(spark, sf):
+    found = alerts(risk(spark, sf, keep_index=True), step=INDEX)
+    return newest(found, 500, ties=("alert_no",)).select("event_id", "miner_id", "alert_no", "severity")
+
+
+@query("alr2_newest_actions", recursive(GUARD, """
+SELECT event_id, miner_id, rule_no, action, approved FROM gres ORDER BY "timestamp" DESC, event_id DESC, rule_no DESC LIMIT 500"""))
+def alr2_actions(spark, sf):
+    done = Ct.safety_guard(Ct.propose_actions(action_input(spark, sf)))
+    return newest(done, 500, ties=("rule_no",)).select("event_id", "miner_id", "rule_no", "action", "approved")
+
+
 AS_OF = "2024-01-16 12:00:00"
 
 

@@ -120,8 +120,7 @@ def str6(spark, sf):
 @query("str7_live_fleet_kpis", sql(RAW_KPI, TICK_SQL))
 def str7(spark, sf):
     rows = with_health(with_true_efficiency(telemetry_stream(spark, sf)))
-    path = In.drain_complete(In.live_fleet_kpis(rows, "1 hour"), "str7")
-    return gridded(spark.read.parquet(path), KPI_TICK)
+    return gridded(In.drain_updates(In.live_fleet_kpis(rows, "1 hour"), "str7", ["tick_start"]), KPI_TICK)
 
 
 @query("str8_batch_live_parity", sql(TEL, """

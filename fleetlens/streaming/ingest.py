@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.operators.summary import fleet_kpis
@@ -67,14 +68,21 @@ def live_fleet_kpis(stream: DataFrame, every: str = "1 minute", delay: str = "1
     return fleet_kpis(stream.withWatermark("timestamp", delay), every)
 
 
-def drain_complete(aggregated: DataFrame, name: str) -> str:
-    """Run an aggregation over everything available; the folder holds its latest full result."""
+def drain_updates(aggregated: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run an aggregation over everything available in update mode; the newest version of each group.
+
+    A batch writes the groups it changed to its own folder, so a retried batch
+    replaces what it wrote, and the watermark removes finished groups from the state.
+    """
     spark = aggregated.sparkSession
     path = scratch_path(spark, name)
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows")
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
-    (aggregated.writeStream.outputMode("complete").foreachBatch(keep)
+    (aggregated.writeStream.outputMode("update").foreachBatch(keep)
      .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination())
-    return f"{path}/rows"
+    rows = spark.read.parquet(f"{path}/rows")
+    values = [c for c in aggregated.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return newest.select(*keys, "v.*")

@@ -169,11 +169,12 @@ def test_all_trees_are_grown(spark):
     from fleetlens.operators.models import FailureClassifier
     from fleetlens.plans.training import JobConfig, fit_classifier
     from fleetlens.plans.validation import HOLDOUT
+    from fleetlens.session import stored
 
     for cfg in (CONFIG, JobConfig()):
         assert (cfg.max_iter, cfg.max_depth, cfg.step_size, cfg.components) == (400, 6, 0.05, 32)
     assert HOLDOUT == {"max_iter": 150, "max_depth": 5, "step_size": 0.1}
     rows = spark.range(400).select((F.rand(1)).alias("a"), F.rand(2).alias("b"), (F.rand(3) < 0.3).alias("is_pre_failure"))
-    rows = rows.localCheckpoint()  # labels without any pattern: an early stop would come at once
+    rows = stored(rows, scratch_path(spark, "trees"))  # labels without any pattern: an early stop would come at once
     clf = fit_classifier(rows.where("a < 0.7"), rows.where("a >= 0.7"), dataclasses.replace(CONFIG, max_iter=12, max_depth=2))
     assert isinstance(clf, FailureClassifier) and clf.trees.getNumTrees == 12

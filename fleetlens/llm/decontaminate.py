@@ -3,9 +3,11 @@
 Of the hashes of all ``GRAM`` consecutive words, the smallest one in each run
 of ``SPAN - GRAM + 1`` is kept, for documents and for benchmark items: a shared
 span of ``SPAN`` words has the same run on both sides and so shares the hash
-that is kept from it. Hashes are joined; around each hit the windows of ``SPAN``
-words that hold it are compared word by word, so what counts is exact and no
-window of a longer span is missed.
+that is kept from it. Hashes are joined; around each hit the document's windows of
+``SPAN`` words that hold it are looked up among the distinct windows of all items
+and compared as texts, so what counts is exact and no window of a longer span is
+missed. A sentence that many items share is one window: which items have it is
+added at the end, so documents and items are never paired.
 
 Items of fewer words are one window of their own length; for each such length
 that occurs (nine at most) all runs of that many words are hashed.
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.frames import exact_lower, let, small_side, text_key, upto, without
+from fleetlens.llm.frames import bounded_side, exact_lower, let, text_key, upto, without
 from fleetlens.session import scratch_path, stored
 
 SPAN, GRAM = 10, 5
@@ -42,28 +44,24 @@ def hashes_of(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def spans_hit(words: Column, item: Column, prints: Column, lengths: list[int]) -> Column:
-    """Places of the words inside windows of the item, given the item's kept hashes; ``lengths`` are those of short items."""
-    size = F.least(F.lit(SPAN), F.size(item))
-    windows = F.transform(upto(F.size(item) - size + 1), lambda q: F.array_join(F.slice(item, q + 1, size), " "))
+def windows_of(words: Column) -> Column:
+    """The windows of an item as texts: all runs of SPAN words, or the whole item where it has fewer."""
+    size = F.least(F.lit(SPAN), F.size(words))
+    return F.transform(upto(F.size(words) - size + 1), lambda q: F.array_join(F.slice(words, q + 1, size), " "))
 
-    def around(grams: Column, gram: int) -> Column:
-        """Starts of the windows that hold a run of words whose hash the item has kept."""
-        hits = F.filter(upto(F.size(grams)), lambda j: F.array_contains(prints, F.get(grams, j)))
-        last = F.size(words) - size
-        near = F.transform(hits, lambda j: F.filter(F.sequence(j - size + gram, j), lambda p: (p >= 0) & (p <= last)))
-        return F.array_distinct(F.flatten(near))
 
-    def exact(starts: Column) -> Column:
-        return let(windows, lambda own: F.filter(starts, lambda p: F.array_contains(own, F.array_join(F.slice(words, p + 1, size), " "))))
+def candidates(words: Column, prints: Column, lengths: list[int]) -> Column:
+    """(p, size, window) of the document's windows that hold a run of words whose hash is among ``prints``; ``lengths`` are those of short items."""
+    def around(size: int, gram: int) -> Column:
+        def starts(grams: Column) -> Column:
+            hits = F.filter(upto(F.size(grams)), lambda j: F.array_contains(prints, F.get(grams, j)))
+            near = F.transform(hits, lambda j: F.filter(F.sequence(j - (size - gram), j), lambda p: (p >= 0) & (p <= F.size(words) - size)))
+            return F.transform(F.array_distinct(F.flatten(near)), lambda p: F.struct(
+                p.alias("p"), F.lit(size).alias("size"), F.array_join(F.slice(words, p + 1, size), " ").alias("window")))
 
-    short = F.array().cast("array<int>")
-    for n in lengths:
-        grams = let(hashes_of(words), lambda h: gram_hashes(h, n))
-        short = F.when(size == n, let(grams, lambda g: around(g, n))).otherwise(short)
-    grams = let(hashes_of(words), lambda h: gram_hashes(h, GRAM))
-    starts = F.when(size == SPAN, let(grams, lambda g: around(g, GRAM))).otherwise(short)
-    return let(starts, lambda s: let(exact(s), lambda e: F.array_distinct(F.flatten(F.transform(e, lambda p: F.sequence(p, p + size - 1))))))
+        return let(hashes_of(words), lambda h: let(gram_hashes(h, gram), starts))
+
+    return F.concat(around(SPAN, GRAM), *[around(n, n) for n in lengths])
 
 
 def mark_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -79,45 +77,49 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc
     docs = without(docs, "n_words", "n_hit", "item_ids", "contaminated")
     spark = docs.sparkSession
 
-    # items: one row for each word sequence, with the hashes that stand for it
-    own = items.select(F.col(item_id).cast("string").alias("__id"), words_of(F.col(item_text)).alias("__item")).where(F.size("__item") > 0)
-    own = own.groupBy("__item").agg(F.collect_set("__id").alias("__ids"))
-    own = stored(own, scratch_path(spark, "items"))
-    lengths = sorted(r[0] for r in own.where(F.size("__item") < SPAN).select(F.size("__item")).distinct().collect())  # nine at most
-    hashes = hashes_of(F.col("__item"))
+    # the windows of all items, each once, with the items that have it; and the hashes that stand for them
+    own = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), words_of(F.col(f"`{item_text}`")).alias("item")).where(F.size("item") > 0)
+    own = stored(own.groupBy("item").agg(F.collect_set("id").alias("ids")), scratch_path(spark, "items"))
+    lengths = sorted(r[0] for r in own.where(F.size("item") < SPAN).select(F.size("item")).distinct().collect())  # nine at most
+    listed = own.select("ids", F.explode(F.array_distinct(windows_of(F.col("item")))).alias("window"))
+    windows = listed.groupBy("window").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")).withColumn("key", F.md5(F.col("window").cast("binary")))
+    windows = stored(windows, scratch_path(spark, "windows"))
+    hashes = hashes_of(F.col("item"))
     prints = let(hashes, lambda h: let(gram_hashes(h, GRAM), winnowed))
     for n in lengths:
-        prints = F.when(F.size("__item") == n, let(hashes, lambda h: gram_hashes(h, n))).otherwise(prints)
-    own = own.withColumn("__prints", prints).withColumn("__key", F.md5(F.array_join("__item", " ").cast("binary")))
-    own = stored(own, scratch_path(spark, "items"))
-    by_hash = stored(own.select(F.explode("__prints").alias("__h"), "__key").distinct(), scratch_path(spark, "prints"))
+        prints = F.when(F.size("item") == n, let(hashes, lambda h: gram_hashes(h, n))).otherwise(prints)
+    by_hash = stored(own.select(F.explode(prints).alias("h")).distinct(), scratch_path(spark, "prints"))
 
-    # documents that share a kept hash, and with which items
-    key = [F.col(doc_id).alias("__doc"), text_key(F.col(text)).alias("__text")]
+    # documents that share a kept hash, with the hashes they share
+    key = [F.col(f"`{doc_id}`").alias("doc"), text_key(F.col(f"`{text}`")).alias("t")]
 
     def kept(h: Column) -> Column:
         all_of = [let(gram_hashes(h, GRAM), winnowed), *(gram_hashes(h, n) for n in lengths)]
         return F.array_distinct(F.concat(*all_of)) if lengths else all_of[0]
 
-    prints = docs.select(*key, F.explode(let(hashes_of(words_of(F.col(text))), kept)).alias("__h"))
-    shared = prints.join(by_hash, "__h").select("__doc", "__text", "__key").distinct()
-    shared = stored(shared, scratch_path(spark, "shared"))
-
-    # their words, window by window
-    same = lambda a, b: F.col(f"{a}.__doc").eqNullSafe(F.col(f"{b}.__doc")) & (F.col(f"{a}.__text") == F.col(f"{b}.__text"))
-    wanted = shared.select("__doc", "__text").distinct()
-    texts = docs.select(*key, F.col(text).alias("__words")).distinct().alias("d").join(small_side(wanted, shared.count()).alias("w"), same("d", "w"), "left_semi")
-    texts = texts.select("__doc", "__text", words_of(F.col("__words")).alias("__words"))
-    pairs = texts.alias("d").join(shared.alias("s"), same("d", "s")).select("d.__doc", "d.__text", "d.__words", "s.__key").join(own, "__key")
-    hit = pairs.select("__doc", "__text", "__ids", spans_hit(F.col("__words"), F.col("__item"), F.col("__prints"), lengths).alias("__hit")).where(F.size("__hit") > 0)
-    hit = hit.groupBy("__doc", "__text").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("__hit")))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__ids")))).alias("item_ids"))
-    hit = stored(hit, scratch_path(spark, "hits"))
-
-    keep = [F.col(f"d.`{c}`") for c in docs.columns]
-    every = docs.withColumns({"__doc": F.col(doc_id), "__text": text_key(F.col(text)), "n_words": F.size(words_of(F.col(text))).cast("long")}).alias("d")
-    out = every.join(small_side(hit, hit.count()).alias("h"), same("d", "h"), "left")
+    seen = docs.select(*key, F.explode(let(hashes_of(words_of(F.col(f"`{text}`"))), kept)).alias("h"))
+    shared = seen.join(bounded_side(by_hash), "h", "left_semi").groupBy("doc", "t").agg(F.collect_set("h").alias("prints"))
+    shared = stored(shared.select(F.col("doc").alias("d"), F.col("t").alias("k"), "prints"), scratch_path(spark, "shared"))
+
+    # their windows around these hashes, compared as texts; no document meets an item before its windows are known
+    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("t") == F.col("k"))
+    texts = docs.select(*key, F.col(f"`{text}`").alias("text")).join(bounded_side(shared, F.size("prints") * 8), same).dropDuplicates(["doc", "t"])
+    texts = texts.select("doc", "t", "prints", words_of(F.col("text")).alias("words"))
+    near = texts.select("doc", "t", F.explode(candidates(F.col("words"), F.col("prints"), lengths)).alias("c")).select(
+        "doc", "t", "c.*", F.md5(F.col("c.window").cast("binary")).alias("key"))
+    known = bounded_side(windows.select("key", F.col("window").alias("own")), F.octet_length("own"))
+    hits = near.join(known, "key").where(F.col("window") == F.col("own")).select("doc", "t", "p", "size", "key")
+    hits = stored(hits, scratch_path(spark, "hits"))
+    places = hits.groupBy("doc", "t").agg(F.size(F.array_distinct(F.flatten(F.collect_set(
+        F.sequence(F.col("p"), F.col("p") + F.col("size") - 1))))).cast("long").alias("n"))
+    ids = hits.select("doc", "t", "key").distinct().join(bounded_side(windows.select("key", "ids"), F.size("ids") * 16), "key")
+    ids = ids.groupBy("doc", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("found"))
+    both = places.join(ids.select(F.col("doc").alias("d"), F.col("t").alias("k"), "found"), same).select(F.col("doc").alias("d"), F.col("t").alias("k"), "n", "found")
+    both = stored(both, scratch_path(spark, "marks"))
+
+    # the row is packed, so no column of it meets a name from here
+    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key, F.size(words_of(F.col(f"`{text}`"))).cast("long").alias("n_words"))
+    out = every.join(bounded_side(both, F.size("found") * 16), same, "left")
     return out.select(
-        *keep, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        F.col("n_hit").isNotNull().alias("contaminated"))
+        *[F.col(f"row.`{c}`") for c in docs.columns], "n_words", F.coalesce("n", F.lit(0)).alias("n_hit"),
+        F.coalesce("found", F.array().cast("array<string>")).alias("item_ids"), F.col("n").isNotNull().alias("contaminated"))

@@ -253,3 +253,15 @@ def test_filter_holds_every_key(spark):
     assert int(np.unpackbits(bits.data).sum()) == len({k >> 36 for k in unsigned} | {k & ((1 << 28) - 1) for k in unsigned})
     other = np.random.default_rng(1).integers(-2**63, 2**63 - 1, 1_000_000).view(np.uint64)
     assert bits.has(other).sum() == 0
+
+
+def test_a_sentence_of_all_items_is_one_window(spark):
+    from fleetlens.llm.decontaminate import mark_contaminated
+
+    sentence = "which of these eleven words stands in every single item here"
+    items = spark.createDataFrame([(i, f"{sentence} item{i} asks{i} for{i}") for i in range(3000)], "item_id long, text string")
+    rows = [(i, f"some words before {sentence} and after {i}", "x") for i in range(200)] + [(200, f"{sentence} item7 asks7 for7", "x"), (201, "nothing", "x"), (202, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumns({"__doc": F.lit(1), "t": F.lit(2), "Row": F.lit(3)})
+    got = {r.doc_id: (r.n_words, r.n_hit, len(r.item_ids), r.contaminated, r["key"], r["__doc"], r.t, r.Row) for r in mark_contaminated(docs, items).collect()}
+    assert got[5] == (17, 11, 3000, True, "x", 1, 2, 3) and got[200] == (14, 14, 3000, True, "x", 1, 2, 3)
+    assert got[201][:4] == (1, 0, 0, False) and got[202][:4] == (0, 0, 0, False) and len(got) == 203

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlens.catalog.base import TEL, _SENSORS, g, gridded, kpi, ordered, query, sql, telemetry
+from fleetlens.catalog.base import KPI, TEL, _SENSORS, g, gridded, kpi, ordered, query, sql, telemetry
 from fleetlens.catalog.cleaning import TELEMETRY_COLUMNS, TELEMETRY_SQL
 from fleetlens.operators import filters as Fi
 from fleetlens.operators.features import align_columns, feature_columns
@@ -46,9 +46,17 @@ def scan_columns(spark, sf):
     return Tb.read_columns(spark, f"{sf}/events.parquet", ["event_id", "ts", "value"])
 
 
-@query("src4_validate_schema")
+@query("src4_validate_schema", sql(TEL, 'SELECT event_id, "timestamp", miner_id, 5 AS n_refused FROM tel'))
 def validate_schema(spark, sf):
-    return Fi.validate_schema(telemetry(spark, sf)).select("event_id", "timestamp", "miner_id")
+    """Passes the whole table on; a table that lacks any one of the required columns is refused."""
+    tel = telemetry(spark, sf)
+    refused = 0
+    for c in ("timestamp", "miner_id", "temperature_c", "hashrate_th", "power_w"):
+        try:
+            Fi.validate_schema(tel.drop(c))
+        except ValueError:
+            refused += 1
+    return Fi.validate_schema(tel).select("event_id", "timestamp", "miner_id", F.lit(refused).alias("n_refused"))
 
 
 @query("snk1_ingest_replace", sql(TEL, f"SELECT count(*) AS written, count(*) AS stored FROM tel"))
@@ -90,15 +98,16 @@ def write_parquet(spark, sf):
     return spark.read.parquet(_stored(spark, sf, "snk5")).groupBy("day").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("snk6_feature_cache")
+@query("snk6_feature_cache", sql(KPI, f"SELECT event_id, miner_id, {g('te_health', 9)} AS te_health FROM kpi"))
 def feature_cache(spark, sf):
-    root = scratch_path(spark, "snk6")
-
-    def build():
-        return kpi(spark, sf).select("event_id", "miner_id", "te_health")
-
-    Tb.cached_features(spark, root, "a", build)
-    return Tb.cached_features(spark, root, "a", lambda: (_ for _ in ()).throw(AssertionError("cache was not used")))
+    """Features of an older table are not taken for those of this one; those of this one are made once."""
+    root, tel = scratch_path(spark, "snk6"), telemetry(spark, sf)
+    features = lambda: kpi(spark, sf).select("event_id", "miner_id", "te_health")
+    older = tel.withColumn("power_w", F.when(F.col("event_id") != 5, F.col("power_w")))
+    Tb.cached_features(spark, root, Tb.content_stamp(older), lambda: features().limit(0))
+    Tb.cached_features(spark, root, Tb.content_stamp(tel), features)
+    again = Tb.cached_features(spark, root, Tb.content_stamp(tel), lambda: (_ for _ in ()).throw(AssertionError("cache was not used")))
+    return gridded(again, ["te_health"], 9)
 
 
 @query("qry1_sql_query", sql(TEL, "SELECT model, count(*) AS n, max(temperature_c) AS max_temp FROM tel GROUP BY model"))
